@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.common import table
-from retentia.llm import recordhash, survivor, unify
+from retentia.llm import canonical, recordhash, survivor, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,19 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "records"))
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_to_terms(table(spark, d, "records"), table(spark, d, "canonical_terms"), ("analyte_polymer", "architecture"), ("mobile_phase_solvents",))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select(F.col("row_id").alias("record_id"), "field", "pos", "term_id")
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the values without an entry, most frequent first by count."""
+    return _mapped(spark, d).where("term_id = 0").groupBy("field", "value").agg(F.count("*").alias("n_values"))
+
+
 def _departing(spark: SparkSession, d: str) -> DataFrame:
     r = unify.departing(table(spark, d, "records"), "records", "record_id", {"analyte_polymer": F.col("analyte_polymer"), "critical_component": F.col("critical_component")})
     e = unify.departing(table(spark, d, "extractions"), "extractions", "run_id", {"metadata.source_pdf": F.col("metadata.source_pdf")})
@@ -39,7 +52,7 @@ def p7_unified(spark: SparkSession, d: str) -> DataFrame:
     return _departing(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_conditions": p1_conditions, "p2_found": p2_found, "p2_survivors": p2_survivors, "p7_found": p7_found, "p7_unified": p7_unified}
+QUERIES = {"p1_found": p1_found, "p1_conditions": p1_conditions, "p2_found": p2_found, "p2_survivors": p2_survivors, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_unified": p7_unified}
 
 _MISS = "({c} IS NULL OR lower(trim({c}, E' \\t\\n\\r\\f\\x0b')) IN ('', 'null', 'none', 'n/a'))"
 

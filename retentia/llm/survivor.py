@@ -95,29 +95,36 @@ def _rank(c: Column, ranks: dict[int, int]) -> Column:
     return out
 
 
-def dated(combos: DataFrame, ranks: dict[int, int]) -> DataFrame:
-    """Adds `at`: the time of a state, or for an undated one the latest time in its group of a value not after its own."""
-    latest = combos.where(F.col("ts").isNotNull()).groupBy("root", "form", "sure").agg(F.max("ts").alias("m"))
-    undated = combos.where(F.col("ts").isNull()).alias("u")
-    peers = latest.alias("p")
-    same = (F.col("u.root") == F.col("p.root")) & (F.col("u.form") == F.col("p.form"))
-    earlier = (F.col("u.sure") == F.col("p.sure")) | (_rank(F.col("p.sure"), ranks) < _rank(F.col("u.sure"), ranks))
-    placed = undated.join(peers, same & earlier, "left").groupBy(*[F.col(f"u.{c}").alias(c) for c in combos.columns]).agg(F.max("m").alias("at"))  # states are at most 4 per group on the right
-    return combos.where(F.col("ts").isNotNull()).withColumn("at", F.col("ts")).unionByName(placed)
-
-
 def best_records(records: DataFrame) -> DataFrame:
-    """(first_id, best_id): groups in which one record is at least as full, as late and as sure as every other one and better than each in something."""
+    """(first_id, best_id): groups in which one record is at least as full, as late and as sure as every other one and better than each in something.
+
+    One shuffle on (group, state), one on the group. An undated state takes the latest time in its group among the
+    values that precede or equal its own in the learned order; there are at most 11 x 4 undated states, so their
+    set stays small however many rows the group has.
+    """
     scored = states(records).select("root", canonical().alias("form"), "id", "n_filled", "ts", "sure")
+    ranks = learn_precedence(scored)
     combos = scored.groupBy("root", "form", "n_filled", "ts", "sure").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    if scored.where(F.col("ts").isNull()).select(F.lit(1)).limit(1).count():
-        combos = dated(combos, learn_precedence(scored))
-    else:  # every record has its time: the learned order would never be asked
-        combos = combos.withColumn("at", F.col("ts"))
-    top = F.max(F.struct("n_filled", "at", "sure", (-F.col("n")).alias("neg_n"), F.col("lo"), F.col("hi"))).alias("x")
-    g = combos.groupBy("root", "form").agg(F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.max("n_filled").alias("f"), F.max("at").alias("t"), F.max("sure").alias("s"), top, F.max(F.struct("n_filled", "at", "sure", "n")).alias("most"))
-    best = (F.col("x.n_filled") == F.col("f")) & F.col("x.at").eqNullSafe(F.col("t")) & (F.col("x.sure") == F.col("s")) & (F.col("x.lo") == F.col("x.hi")) & (F.col("most.n") == 1)
-    return g.where((F.col("last_id") > F.col("first_id")) & best).select("first_id", F.col("x.lo").alias("best_id"))
+    has_time, levels = F.col("ts").isNotNull(), range(len(SURETY) + 1)
+    state = F.struct("n_filled", F.col("ts").alias("at"), "sure", "n", "lo", "hi")
+    g = combos.groupBy("root", "form").agg(
+        F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.max("n_filled").alias("f"), F.max("ts").alias("t"), F.max("sure").alias("s"),
+        F.max(F.when(has_time, state)).alias("top"),
+        F.collect_set(F.when(~has_time, F.struct("n_filled", "sure", "n", "lo", "hi"))).alias("undated"),
+        *[F.max(F.when(has_time & (F.col("sure") == k), F.col("ts"))).alias(f"t{k}") for k in levels],
+    ).where("last_id > first_id")
+
+    def placed(x: Column) -> Column:
+        at = F.lit(None).cast("timestamp")
+        for k in levels:
+            not_later = [v for v in levels if v == k or ranks.get(v, -1) < ranks.get(k, -1)]
+            at = F.when(x["sure"] == k, F.greatest(F.lit(None).cast("timestamp"), *[F.col(f"t{v}") for v in not_later])).otherwise(at)
+        return F.struct(x["n_filled"].alias("n_filled"), at.alias("at"), x["sure"].alias("sure"), x["n"].alias("n"), x["lo"].alias("lo"), x["hi"].alias("hi"))
+
+    all_states = F.concat(F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<struct<n_filled:int,at:timestamp,sure:int,n:bigint,lo:bigint,hi:bigint>>")), F.transform("undated", placed))
+    tops = F.filter(all_states, lambda x: (x["n_filled"] == F.col("f")) & x["at"].eqNullSafe(F.col("t")) & (x["sure"] == F.col("s")))
+    best = g.select("first_id", tops.alias("b")).where(F.size("b") == 1).select("first_id", F.col("b")[0].alias("b"))
+    return best.where("b.lo = b.hi and b.n = 1").select("first_id", F.col("b.lo").alias("best_id"))
 
 
 def survivors(records: DataFrame) -> DataFrame:
