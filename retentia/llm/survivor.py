@@ -123,7 +123,7 @@ def best_records(records: DataFrame) -> DataFrame:
 
     all_states = F.concat(F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<struct<n_filled:int,at:timestamp,sure:int,n:bigint,lo:bigint,hi:bigint>>")), F.transform("undated", placed))
     tops = F.filter(all_states, lambda x: (x["n_filled"] == F.col("f")) & x["at"].eqNullSafe(F.col("t")) & (x["sure"] == F.col("s")))
-    best = g.select("first_id", tops.alias("b")).where(F.size("b") == 1).select("first_id", F.col("b")[0].alias("b"))
+    best = g.select("first_id", tops.alias("b")).where(F.size("b") == 1).select("first_id", F.get("b", F.lit(0)).alias("b"))
     return best.where("b.lo = b.hi and b.n = 1").select("first_id", F.col("b.lo").alias("best_id"))
 
 
