@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.common import table
-from retentia.llm import canonical, recordhash, survivor, unify
+from retentia.llm import canonical, leakage, mixing, reading, recordhash, survivor, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,47 @@ def p7_unified(spark: SparkSession, d: str) -> DataFrame:
     return _departing(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_conditions": p1_conditions, "p2_found": p2_found, "p2_survivors": p2_survivors, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_unified": p7_unified}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: how often every chosen document appears."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares aimed at and reached."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level >= 4").select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus profile: documents per source and level."""
+    src = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source")
+    return _levels(spark, d).join(src, "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_documents"), F.round(F.avg("difficulty"), 4).alias("mean_difficulty"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_conditions": p1_conditions, "p2_found": p2_found, "p2_survivors": p2_survivors, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_unified": p7_unified,
+    "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile,
+}
 
 _MISS = "({c} IS NULL OR lower(trim({c}, E' \\t\\n\\r\\f\\x0b')) IN ('', 'null', 'none', 'n/a'))"
 
