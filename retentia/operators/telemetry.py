@@ -41,6 +41,6 @@ def running_tokens(telemetry: DataFrame) -> DataFrame:
 
 def performance_log(telemetry: DataFrame, records: DataFrame, first: str, second: str) -> DataFrame:
     """(paper, seconds and chunks of either extractor, whether a consensus exists)."""
-    side = lambda m, n: telemetry.where((F.col("model") == m) & (F.col("phase") == "extraction")).groupBy(F.col("paper_name").alias("paper")).agg(F.round(F.max("wall_duration_s"), 2).alias(f"{n}_seconds"), F.max("num_chunks").alias(f"{n}_chunks"))
+    side = lambda m, n: telemetry.where((F.col("model") == m) & (F.col("phase") == "extraction")).groupBy(F.col("paper_name").alias("paper")).agg(F.max("wall_duration_s").alias(f"{n}_seconds"), F.max("num_chunks").alias(f"{n}_chunks"))
     done = records.where("model = 'consensus'").select(F.col("paper_id").alias("paper")).distinct().withColumn("there", F.lit(1))
     return side(first, "first").join(side(second, "second"), "paper", "left").join(done, "paper", "left").select("paper", "first_seconds", "first_chunks", "second_seconds", "second_chunks", F.col("there").isNotNull().alias("has_consensus"))

@@ -318,7 +318,7 @@ SELECT paper_name, model, phase, wall_start, k::INTEGER call_no, sum(c.output_to
 )(telemetry.running_tokens)
 query(
     "performance_log",
-    f"""WITH s AS (SELECT model, paper_name paper, round(max(wall_duration_s), 2) s, max(num_chunks) c FROM telemetry WHERE phase = 'extraction' GROUP BY 1, 2), k AS (SELECT DISTINCT paper_id paper, 1 x FROM records WHERE model = 'consensus')
+    f"""WITH s AS (SELECT model, paper_name paper, max(wall_duration_s) s, max(num_chunks) c FROM telemetry WHERE phase = 'extraction' GROUP BY 1, 2), k AS (SELECT DISTINCT paper_id paper, 1 x FROM records WHERE model = 'consensus')
 SELECT a.paper, a.s first_seconds, a.c first_chunks, b.s second_seconds, b.c second_chunks, x IS NOT NULL has_consensus FROM (SELECT * FROM s WHERE model = '{FIRST}') a LEFT JOIN (SELECT * FROM s WHERE model = '{SECOND}') b ON a.paper = b.paper LEFT JOIN k ON k.paper = a.paper""",
     ("telemetry", "records"),
 )(lambda t, r: telemetry.performance_log(t, r, FIRST, SECOND))
