@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.common import present, strip
+from retentia.common import materialize, present, strip
 
 #: Fixed value: form of a well-formed DOI.
 DOI = r"^10\.[0-9]{4,9}/\S+$"
@@ -87,7 +87,8 @@ def departures(
     bad: Column = F.lit(False)
     for f, p in patterns.items():
         bad = bad | ((F.col("field") == f) & F.col("raw").isNotNull() & ~F.coalesce(F.col("raw").rlike(p), F.lit(False)))
-    by_value = value_counts(df, by, columns).groupBy("field", "load", F.lower("raw").alias("value")).agg(F.sum("n").alias("n"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"))
+    # written once: every check below reads the counts, not the rows again
+    by_value = materialize(value_counts(df, by, columns).groupBy("field", "load", F.lower("raw").alias("value")).agg(F.sum("n").alias("n"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad")))
     there = F.col("value").isNotNull()
     base = by_value.groupBy("field", "load").agg(
         F.sum("n").cast("double").alias("n"),
