@@ -275,8 +275,8 @@ query(
     "native_fold",
     f"""WITH a AS (SELECT paper_id, model, run_ts, list({{'c': cond_idx, 'id': record_id, 'r': {_ratio_num('mobile_phase_ratio')}, 't': {_first('temperature_celsius')}}} ORDER BY cond_idx, record_id) items FROM records GROUP BY 1, 2, 3),
 f AS (SELECT paper_id, model, run_ts, list_reduce(list_transform(items, lambda x: [x]), lambda acc, one: CASE WHEN len(list_filter(acc, lambda k: coalesce(abs(k.r - one[1].r) <= 2.0, true) AND coalesce(abs(k.t - one[1].t) <= 2.0, true))) > 0 THEN acc ELSE list_concat(acc, one) END) kept FROM a)
-SELECT paper_id, model, run_ts, array_to_string(list_transform(kept, lambda x: x.id::VARCHAR), ',') kept FROM f""",
-)(resolve.native_fold)
+SELECT paper_id, model, epoch_us(run_ts) run_us, array_to_string(list_transform(kept, lambda x: x.id::VARCHAR), ',') kept FROM f""",
+)(lambda r: resolve.native_fold(r).select("paper_id", "model", F.unix_micros("run_ts").alias("run_us"), "kept"))
 query("dedup_runs")(resolve.dedup_runs)
 query("keep_first")(resolve.keep_first)
 query("absorb_vague")(resolve.absorb)
@@ -327,3 +327,39 @@ query("distinct_texts", "SELECT min(doc_id) first_id, count(*) n FROM documents
 query("document_chunks", on="documents")(lambda d: docs.chunk(d, 300).select("doc_id", "chunk_index", "section", "token_count", F.sha2("text", 256).alias("sha256")))
 query("token_estimates", "SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w\\s])'))::INTEGER n_tokens FROM documents", "documents")(lambda d: d.select("doc_id", S.token_estimate(F.col("text")).alias("n_tokens")))
 query("event_props", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events", "events")(lambda e: e.select("event_id", F.get_json_object(S.parse_model_answer(F.col("props")), "$.k").cast("bigint").alias("k")))
+
+
+# ---- streams, reports, extraction ----
+
+
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts per event type, computed as a stream over the event table."""
+    from retentia.streaming import streams
+
+    events = streams.stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
+    out = streams.drain(streams.windowed(events, "ts", "event_type", "value"), "complete", "events")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+QUERIES["stream_event_windows"] = _stream_windows
+SQL["stream_event_windows"] = "SELECT date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(\"value\"), 4) total FROM events GROUP BY 1, 2"
+
+
+@query("extract_with_stand_in", on="documents")
+def extract_with_stand_in(d: DataFrame) -> DataFrame:
+    """Chunks, prompts, answers of the deterministic stand-in, assembled per document."""
+    from retentia.operators import extractors as X
+
+    chunks = docs.chunk(d, 25_000)
+    asked = X.call(chunks.select("doc_id", "chunk_index", X.extraction_prompt(F.col("text"), "List every critical condition.").alias("prompt")), "prompt", X.EchoExtractor())
+    return X.assemble(chunks, asked)
+
+
+@query(
+    "detail_lines",
+    "SELECT record_id, concat_ws(' | ', coalesce(nullif(critical_component, ''), nullif(analyte_polymer, ''), 'N/A'), concat(coalesce(nullif(column_name, ''), 'N/A'), ' (', coalesce(nullif(stationary_phase_chemistry, ''), 'N/A'), ')'), coalesce(array_to_string(mobile_phase_solvents, '/'), 'N/A'), coalesce(nullif(mobile_phase_ratio, ''), 'N/A')) line FROM records",
+)
+def detail_lines(r: DataFrame) -> DataFrame:
+    from retentia.sources import sinks
+
+    return sinks.detail_lines(r)
