@@ -11,6 +11,9 @@ from retentia.common import shared_dir
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
+    """Parquet files below a folder, or one file: the last part of the path becomes a pattern, which either may match."""
+    head, _, last = path.rstrip("/").rpartition("/")
+    path = f"{head}/[{last[0]}]{last[1:]}"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
