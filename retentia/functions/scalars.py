@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANK))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def null_token(c: Column) -> Column:
     """Null, blank, `null` or `none` (not n/a): the standardizer's idea of missing."""
     return c.isNull() | F.lower(strip(c)).isin("", "null", "none")
@@ -68,9 +75,11 @@ def word_jaccard(a: Column, b: Column) -> Column:
 
 def canonical_polymer(c: Column) -> Column:
     """Family of a polymer name: descriptor suffix dropped, looked up, then once more without a topology prefix; else the text."""
-    v = strip(F.regexp_replace(F.lower(strip(c)), vocab.COMPONENT_SUFFIX, ""))
-    bare = strip(F.regexp_replace(v, vocab.ARCH_PREFIX, ""))
-    return F.coalesce(vocab.lookup(vocab.POLYMERS, alnum(v)), F.when((bare != "") & (bare != v), vocab.lookup(vocab.POLYMERS, alnum(bare))), v, F.lit(""))
+    def known(v: Column) -> Column:
+        bare = strip(F.regexp_replace(v, vocab.ARCH_PREFIX, ""))
+        return F.coalesce(vocab.lookup(vocab.POLYMERS, alnum(v)), let(bare, lambda b: F.when((b != "") & (b != v), vocab.lookup(vocab.POLYMERS, alnum(b)))), v, F.lit(""))
+
+    return let(strip(F.regexp_replace(F.lower(strip(c)), vocab.COMPONENT_SUFFIX, "")), known)
 
 
 def solvent_set(c: Column, extended: bool = False) -> Column:
@@ -181,13 +190,15 @@ def column_mode(c: Column) -> Column:
 
 
 def architecture(c: Column) -> Column:
-    low = F.lower(strip(c))
-    out = F.when(c.isNull() | (c == ""), c)
-    for key, target in vocab.ARCHITECTURES.items():
-        out = out.when(low == key, target)
-    for key, target in vocab.ARCHITECTURES.items():
-        out = out.when(low.startswith(key), target)
-    return out.when(low.contains("block"), "block copolymer").otherwise(c)
+    """Exact spelling, else the first known one it begins with, else block copolymer where it says so, else unchanged."""
+
+    def mapped(low: Column) -> Column:
+        out = F.when(low.isin(*vocab.ARCHITECTURES), vocab.lookup(vocab.ARCHITECTURES, low))
+        for key, target in vocab.ARCHITECTURES.items():
+            out = out.when(low.startswith(key), target)
+        return out.when(low.contains("block"), "block copolymer").otherwise(c)
+
+    return F.when(c.isNull() | (c == ""), c).otherwise(let(F.lower(strip(c)), mapped))
 
 
 def year(c: Column) -> Column:

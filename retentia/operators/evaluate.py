@@ -24,7 +24,7 @@ SCORED = {
 def field_scores(records: DataFrame, annotations: DataFrame, ratio: float = 0.78) -> DataFrame:
     """(paper_id, field, status, coverage, matched, expected): exact all found, partial some, missing none, out_of_scope nothing expected.
 
-    Candidates of a paper are its distinct normalised values: aggregated as sets of texts before they meet the annotations.
+    Candidates of a paper are its distinct normalised values; no paper's values are gathered into one row.
     """
     values = []
     for field, (_, cols) in SCORED.items():
@@ -37,15 +37,18 @@ def field_scores(records: DataFrame, annotations: DataFrame, ratio: float = 0.78
         multi = c in ("polymer_names", "solvents", "detectors")
         wanted.append(F.struct(F.lit(field).alias("field"), (F.transform(c, S.normalize_text) if multi else F.array(S.normalize_text(F.col(c)))).alias("e")))
     gt = annotations.where("reference is not null").select(F.col("reference").alias("paper_id"), F.explode(F.array(*wanted)).alias("x")).select("paper_id", "x.field", F.filter("x.e", lambda v: v.isNotNull() & (v != "")).alias("e"))
-    cand = long.join(gt.select("paper_id").distinct(), "paper_id", "left_semi").distinct().groupBy("paper_id", "field").agg(F.array_sort(F.collect_set("v")).alias("c"))
-    j = gt.join(cand, ["paper_id", "field"], "left").select("paper_id", "field", F.coalesce("e", F.array().cast("array<string>")).alias("e"), F.coalesce("c", F.array().cast("array<string>")).alias("c"))
-
-    def score(r: dict) -> list[dict]:
-        n, hit = len(r["e"]), sum(any(text_match(e, c, ratio) for c in r["c"]) for e in r["e"])
-        status = "out_of_scope" if not n else "exact" if hit == n else "partial" if hit else "missing"
-        return [{"paper_id": r["paper_id"], "field": r["field"], "status": status, "coverage": round(hit / n, 4) if n else 0.0, "matched": hit, "expected": n}]
-
-    return by_row(j, score, "paper_id string, field string, status string, coverage double, matched int, expected int")
+    wanted = gt.withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
+    # candidates stay rows: each meets the few expected values of its paper and field, hits are united afterwards
+    pairs = long.distinct().join(wanted.where(F.size("e") > 0), ["paper_id", "field"])
+
+    def hits(r: dict) -> list[dict]:
+        return [{"paper_id": r["paper_id"], "field": r["field"], "k": k} for k, e in enumerate(r["e"]) if text_match(e, r["v"], ratio)]
+
+    matched = by_row(pairs, hits, "paper_id string, field string, k int").distinct().groupBy("paper_id", "field").agg(F.count("*").cast("int").alias("m"))
+    n, m = F.size("e"), F.coalesce("m", F.lit(0))
+    status = F.when(n == 0, "out_of_scope").when(m == n, "exact").when(m > 0, "partial").otherwise("missing")
+    coverage = F.when(n == 0, 0.0).otherwise(F.round(m / F.nullif(n, F.lit(0)), 4))
+    return wanted.join(matched, ["paper_id", "field"], "left").select("paper_id", "field", status.alias("status"), coverage.alias("coverage"), m.alias("matched"), n.alias("expected"))
 
 
 def paper_scores(scores: DataFrame) -> DataFrame:
