@@ -157,3 +157,56 @@ def position_consistency(a: DataFrame, b: DataFrame) -> DataFrame:
     j = side(a, "a").join(side(b, "b"), "paper_id", "full_outer")
     same = F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("s_a") == F.col("s_b")) & (F.col("t_a") == F.col("t_b")), F.lit(False))
     return j.agg(F.count("*").alias("n_papers"), F.round(F.avg(same.cast("double")), 6).alias("consistent"))
+
+
+METADATA = ("paper_doi", "corresponding_author_name", "corresponding_email_address", "physical_address", "publication_year")
+
+
+def paper_metadata(records: DataFrame, order: tuple[str, ...] = ("consensus", "qwen-27b", "mistral-24b")) -> DataFrame:
+    """(paper_id, bibliographic fields): first value that is there, extractors in order, then records by id."""
+    rank = F.lit(len(order))
+    for k, m in enumerate(order):
+        rank = F.when(F.col("model") == m, k).otherwise(rank)
+    key = rank.cast("bigint") * 10**15 + F.col("record_id")
+    there = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", key)
+    return records.groupBy("paper_id").agg(*[F.min_by(F.when(there(c).isNotNull(), F.col(c)), there(c)).alias(c) for c in METADATA])
+
+
+def stamp_metadata(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Empty bibliographic fields filled from the paper's; fields that are there stay."""
+    meta = metadata.select("paper_id", *[F.col(c).alias(f"_{c}") for c in METADATA])
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")) for c in METADATA}
+    return records.join(meta, "paper_id", "left").withColumns(filled).select(*records.columns)
+
+
+def judgements(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(paper_id, requires_retry, feedback) of two judge runs: either asks, first feedback that says something."""
+    a, b = first.select("paper_id", F.col("requires_retry").alias("ra"), F.col("feedback").alias("fa")), second.select("paper_id", F.col("requires_retry").alias("rb"), F.col("feedback").alias("fb"))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return a.join(b, "paper_id", "full_outer").select("paper_id", (no("ra") | no("rb")).alias("requires_retry"), F.coalesce(F.nullif("fa", F.lit("")), F.nullif("fb", F.lit(""))).alias("feedback"))
+
+
+def audit(records: DataFrame) -> DataFrame:
+    """(name, n): how many records, values or groups each check finds."""
+    f = flags(records)
+    counted = {
+        "null_heavy": null_heavy(records),
+        "fractionation": f.where("fractionation"),
+        "high_temperature": f.where("high_temperature"),
+        "comma_analyte": f.where("comma_analyte"),
+        "simulation": f.where("simulation"),
+        "missing_setup": missing_setup(records),
+        "near_duplicates": near_duplicates(records),
+        "repeated": first_of_signature(records),
+    }
+    out = null_strings(records).agg(F.lit("null_strings").alias("name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    for name, d in counted.items():
+        out = out.unionByName(d.agg(F.lit(name).alias("name"), F.count("*").alias("n")))
+    return out
+
+
+def deep_dive(records: DataFrame) -> DataFrame:
+    """Fifteen columns of every consensus record for reading by hand."""
+    ev = F.concat_ws(" | ", *[F.col("field_evidence")[k] for k in ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")])
+    plain = ("subfolder", "critical_component", "analyte_polymer", "column_name", "stationary_phase_chemistry", "mobile_phase_ratio", "mobile_phase_ratio_units", "temperature_celsius", "flow_rate", "detector")
+    return records.where("model = 'consensus'").select(F.replace("paper_id", F.lit(".pdf"), F.lit("")).alias("paper"), *plain, F.coalesce(F.array_join("mobile_phase_solvents", ", "), F.lit("")).alias("solvents"), F.col("model_confidences.qwen").alias("qwen"), F.col("model_confidences.mistral").alias("mistral"), ev.alias("evidence"))

@@ -363,3 +363,15 @@ def detail_lines(r: DataFrame) -> DataFrame:
     from retentia.sources import sinks
 
     return sinks.detail_lines(r)
+
+
+_meta = ", ".join(f"arg_min({c}, k) FILTER (coalesce({c}, '') <> '') {c}" for c in quality.METADATA)
+query("paper_metadata", f"WITH a AS (SELECT *, (CASE model WHEN 'consensus' THEN 0 WHEN 'qwen-27b' THEN 1 WHEN 'mistral-24b' THEN 2 ELSE 3 END)::BIGINT * 1000000000000000 + record_id k FROM records) SELECT paper_id, {_meta} FROM a GROUP BY 1")(quality.paper_metadata)
+_stamp = ", ".join(f"coalesce(nullif(r.{c}, ''), m.{c}) {c}" for c in quality.METADATA)
+query("stamped_metadata", f"WITH a AS (SELECT *, (CASE model WHEN 'consensus' THEN 0 WHEN 'qwen-27b' THEN 1 WHEN 'mistral-24b' THEN 2 ELSE 3 END)::BIGINT * 1000000000000000 + record_id k FROM records), m AS (SELECT paper_id, {_meta} FROM a GROUP BY 1) SELECT record_id, {_stamp} FROM records r LEFT JOIN m USING (paper_id)")(
+    lambda r: quality.stamp_metadata(r, quality.paper_metadata(r)).select("record_id", *quality.METADATA)
+)
+query("deep_dive")(quality.deep_dive)
+_checks = {"null_heavy": "null_heavy", "missing_setup": "missing_setup", "near_duplicates": "near_duplicates", "repeated": "first_of_signature"}
+_counted = [f"SELECT '{n}' name, count(*) n FROM ({SQL[q]})" for n, q in _checks.items()] + [f"SELECT '{n}' name, count(*) n FROM ({SQL['record_flags']}) WHERE {n}" for n in ("fractionation", "high_temperature", "comma_analyte", "simulation")]
+query("audit", " UNION ALL ".join([*_counted, f"SELECT 'null_strings' name, coalesce(sum(n), 0)::BIGINT n FROM ({SQL['null_strings']})"]))(quality.audit)

@@ -32,6 +32,15 @@ def write_standardized(records: DataFrame, path: str, one_file: bool = False) ->
     write_csv(standardize.standard_rows(standardize.standardize(records)), path, one_file)
 
 
+def write_standardized_json(records: DataFrame, path: str) -> None:
+    standardize.standardize(records).write.mode("error").partitionBy("subfolder").json(path)
+
+
+def write_markdown(parsed: DataFrame, path: str) -> None:
+    """Parsed documents by name; one row a document, not one file."""
+    parsed.where("markdown is not null").select(F.regexp_extract("path", r"([^/]+?)(?:\.pdf)?$", 1).alias("paper"), "markdown").write.mode("append").parquet(path)
+
+
 def append_log(telemetry: DataFrame, path: str) -> None:
     telemetry.write.mode("append").json(path)
 
