@@ -20,6 +20,7 @@ a document give one row; very long texts are searched whole; empty tables give a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,6 +229,21 @@ def chunks(ids: list, texts: list[str], most: int = 400_000) -> Iterator[tuple[l
         yield i, t
 
 
+_INDEXES: dict[str, list[ItemIndex]] = {}
+
+
+def indexes_of(key: str, items: list[tuple[int, list[str]]]) -> list[ItemIndex]:
+    """The indexes of one block of items, built once per Python worker and used by all of its tasks."""
+    if key not in _INDEXES:
+        if len(_INDEXES) > 3:
+            _INDEXES.clear()
+        by_size: dict[int, list] = {}
+        for i, w in items:
+            by_size.setdefault(min(PASSAGE, len(w)), []).append((i, w))
+        _INDEXES[key] = [ItemIndex(x, size) for size, x in sorted(by_size.items())]
+    return _INDEXES[key]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id): documents and the items of which they carry the whole text or a passage."""
     spark = documents.sparkSession
@@ -239,12 +255,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id"
     for start in range(0, len(rows), block):
         part = spark.sparkContext.broadcast(rows[start : start + block])
 
-        def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-            by_size: dict[int, list] = {}
-            for i, w in part.value:
-                by_size.setdefault(min(PASSAGE, len(w)), []).append((i, w))
-            indexes = [ItemIndex(x, size) for size, x in sorted(by_size.items())]
-            hashes = Hashes()
+        def run(batches: Iterator[pd.DataFrame], part=part, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            indexes, hashes = indexes_of(key, part.value), Hashes()
             for b in batches:
                 for ids, texts in chunks(b["doc_id"].tolist(), b["text"].tolist()):
                     found = [(d, i) for d, hit in zip(ids, leaks_of_many(texts, indexes, hashes)) for i in sorted(hit)]
