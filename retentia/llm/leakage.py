@@ -137,8 +137,8 @@ class ItemIndex:
                         yield place
 
 
-def _steps(doc: list[str], d: int, item: list[str], p: int, way: int) -> tuple[int, int]:
-    """(item words covered, of them replaced) going one way from a pair of places; the pair itself is not counted."""
+def _steps(doc: list[str], d: int, item: list[str], p: int, way: int, visited: list[tuple[int, int]]) -> tuple[int, int]:
+    """(item words covered, of them replaced) going one way from a pair of places; the pair itself is not counted. Pairs of equal words are noted."""
     covered = replaced = 0
 
     def at(seq: list[str], i: int) -> str | None:
@@ -151,6 +151,7 @@ def _steps(doc: list[str], d: int, item: list[str], p: int, way: int) -> tuple[i
         i, j = d + way, p + way
         if same(i, j):
             d, p, covered = i, j, covered + 1
+            visited.append((d, p))
             continue
         pieces = [at(doc, i), at(doc, i + way)][::way]
         if None not in pieces and "".join(pieces) == item[j]:  # a word broken in two
@@ -173,10 +174,12 @@ def _steps(doc: list[str], d: int, item: list[str], p: int, way: int) -> tuple[i
     return covered, replaced
 
 
-def carries(doc: list[str], item: list[str], d: int, p: int, size: int) -> bool:
+def carries(doc: list[str], item: list[str], d: int, p: int, size: int, visited: list[tuple[int, int]] | None = None) -> bool:
     """Whether a stretch of `size` item words runs through the pair of places that hold the same word."""
-    f, fr = _steps(doc, d, item, p, 1)
-    b, br = _steps(doc, d, item, p, -1)
+    visited = [] if visited is None else visited
+    visited.append((d, p))
+    f, fr = _steps(doc, d, item, p, 1, visited)
+    b, br = _steps(doc, d, item, p, -1, visited)
     span = 1 + f + b
     return span >= size and fr + br <= span // 10
 
@@ -189,7 +192,7 @@ def leaks_of_many(texts: list[str | None], indexes: list[ItemIndex], hashes: Has
     h = np.concatenate([hashes(w) for w in docs]) if docs else np.empty(0, _U)
     for ix in indexes:
         sh = shingles(h, ix.k)  # shingles and windows that run over the end of a text are dropped by their place
-        tried: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int, int]] = set()
         for at, n, ip in ix.candidates(sh):
             which = int(np.searchsorted(starts, at, "right")) - 1
             if at + ix.size > starts[which + 1]:
@@ -203,13 +206,14 @@ def leaks_of_many(texts: list[str | None], indexes: list[ItemIndex], hashes: Has
             if len(shared) < MIN_CONTAINED * ix.window:
                 continue
             for k, d in shared:
-                diagonal = (which, n, d - ip - k)
-                if diagonal in tried:
+                place = d - int(starts[which]), ip + k
+                if (which, n, *place) in tried:
                     continue
-                tried.add(diagonal)
-                if carries(docs[which], item, d - int(starts[which]), ip + k, ix.size):
+                visited: list[tuple[int, int]] = []
+                if carries(docs[which], item, *place, ix.size, visited):
                     found[which].add(item_id)
                     break
+                tried.update((which, n, *v) for v in visited)  # those places have had their stretch; others on the same diagonal have not
     return found
 
 

@@ -117,6 +117,7 @@ def test_altered_passages():
     w = WORDS[5:25]
     assert has(" ".join(w).upper().replace(" ", ",\n> "))
     assert has(" ".join([*w[:7], w[7][:1], w[7][1:], *w[8:]]))  # broken word
+    assert has(" ".join([*WORDS[:10], "x", "y", "z", *WORDS[13:33]]))  # a short stretch before, on the same diagonal
     assert not has(" ".join(w[:14])) and not has("") and not has(" ".join(x for k, x in enumerate(w) if k % 2))
 
 
