@@ -1,13 +1,14 @@
 """Several values packed in one field: segmentation guided by a dictionary of known whole values.
 
-Known whole values are those that stand alone in a field without anything that could be a delimiter. An
-Aho-Corasick automaton finds them inside a packed text; dynamic programming over the places where a value may begin or end then
+Known whole values are those that stand alone in a field without anything that could be a delimiter. Every piece of a packed text
+between two places where a value may begin or end is looked up among all of them; dynamic programming over these places then
 picks the cheapest cover of the text by values and delimiters. A known value costs least, a value that the field's
 grammar accepts more, an unknown one most; a delimiter inside a known value, in quotes, or inside what the grammar takes as one
 value (`Last, First`, an address with its commas, a range) is protected because the cover without the cut is cheaper.
 
-The dictionary is bounded (`limit` most frequent values of at most `MAX_WORD` characters: under 5 MB); values beyond it are
-cut by the grammar alone, which is exact for well-formed values, so the bound drops nothing.
+The dictionary has no bound and never leaves the executors: the pieces of the distinct packed texts are joined with the distinct
+values, a frequent piece or text over `SALTS` places. A text that may be packed is no evidence that its whole is one value. Values
+that stand alone nowhere are cut by the grammar alone, which decides by postcodes and the forms of names.
 
 Defined results: missing fields and fields with a single value give no row; empty pieces do not count; repeated rows
 are split alike; very long texts are cut by the same rules (the cover is linear in the number of delimiters, a value spans at
@@ -18,16 +19,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.common import missing_text, present, strip
+from retentia.common import materialize, missing_text, present, strip
 
 FIELDS = ("corresponding_author_name", "corresponding_email_address", "physical_address", "pore_size")
-MAX_WORD, SPAN = 160, 12
+SPAN, SALTS = 12, 32
 # What may stand between two values.
 DELIMITER = re.compile(r"\s*(?:\|\||[;|\n\r]|,|\s/\s|/|\s&\s|&|\s\+\s|\+|\s(?:and|or|und|oder)\s)(?:\s*(?:\|\||[;|\n\r,]|(?:and|or|und)\s))*\s*|\s+")
 STRONG = re.compile(r"\|\||[;|\n\r]")
@@ -52,15 +52,20 @@ def may_be_packed(field: str) -> Column:
     return c.rlike(r"[;|\n\r\"&+,/]|\s(?:and|or|und)\s")
 
 
-def known_values(df: DataFrame, field: str, limit: int = 20_000) -> list[str]:
-    """The `limit` most frequent values that stand alone in the field: counted over all rows, ties by the value."""
+def _alone(field: str) -> Column:
+    """The field's value where it stands alone, else null."""
     v = strip(present(F.col(field)))
     if field == "physical_address":  # its commas belong to it; anything stronger does not
-        alone = ~v.rlike(r"[;|\n\r\"&+]|\s/\s|\s(?:or|und)\s")
-    else:
-        alone = ~v.rlike(r"[;|\n\r\"&+,/]|\s(?:and|or|und)\s")
-    rows = df.select(v.alias("v")).where(F.col("v").isNotNull() & alone & F.length("v").between(3, MAX_WORD)).groupBy("v").count().orderBy(F.desc("count"), "v").limit(limit).collect()
-    return [r["v"] for r in rows]
+        return F.when(~v.rlike(r"[;|\n\r\"&+]|\s/\s|\s(?:or|und)\s"), v)
+    if field == "corresponding_email_address":  # blanks may part mails
+        return F.when(~v.rlike(r"[;|\"&+,/\s]"), v)
+    return F.when(~v.rlike(r"[;|\n\r\"&+,/]|\s(?:and|or|und)\s"), v)
+
+
+def known_values(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, piece): every distinct value that stands alone in its field."""
+    long = records.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _alone(f).alias("piece")) for f in fields])).alias("x"))
+    return long.select("x.field", "x.piece").where(F.col("piece").isNotNull()).distinct()
 
 
 def _grammar(field: str, s: str) -> float | None:
@@ -107,95 +112,99 @@ def _delimiter_cost(d: str, field: str) -> float:
 _QUOTED = re.compile(r"\"([^\"]*)\"|“([^”]*)”")
 
 
-def split_values(field: str, text: str, known: frozenset[str] = frozenset(), automaton=None) -> list[str]:
-    """The values in `text`, in order."""
-    s = text.strip()
-    if missing_text(s):
-        return []
+def _quoted_values(s: str) -> list[str] | None:
+    """The values of a text in which everything is in quotes."""
     quoted = [q for q in _QUOTED.finditer(s) if (q[1] or q[2] or "").strip()]
     if quoted and not re.sub(r"(?i)\b(?:and|or|und)\b|[\s;,|/&+.]", "", _QUOTED.sub("", s)):
-        return [(q[1] or q[2]).strip() for q in quoted]  # everything is in quotes
-    protected = [(a, b) for a, b in ((q.start(), q.end()) for q in quoted)]
-    whole: dict[int, set[int]] = {}
-    if automaton is not None:
-        for end, word in automaton.iter_long(s) if len(s) < 100_000 else automaton.iter(s):
-            a, b = end - len(word) + 1, end + 1
-            if (a == 0 or not s[a - 1].isalnum()) and (b == len(s) or not s[b].isalnum()):
-                whole.setdefault(a, set()).add(b)
+        return [(q[1] or q[2]).strip() for q in quoted]
+    return None
+
+
+def _cuts(field: str, s: str) -> list[tuple[int, int]]:
+    """The delimiters at which a value may end and the next one begin."""
+    protected = [(q.start(), q.end()) for q in _QUOTED.finditer(s) if (q[1] or q[2] or "").strip()]
     cuts = [(m.start(), m.end()) for m in DELIMITER.finditer(s) if m.end() > m.start() and not any(a <= m.start() < b for a, b in protected)]
     if field not in ("corresponding_email_address",):
         cuts = [(a, b) for a, b in cuts if s[a:b].strip() or "\n" in s[a:b] or "\r" in s[a:b]]
     if field == "physical_address" and any(STRONG.search(s[a:b]) or s[a:b].strip() in ("/", "&", "+") for a, b in cuts):
         cuts = [(a, b) for a, b in cuts if s[a:b].strip() not in (",", "and", "or", "und")]
+    return cuts
+
+
+def _spans(s: str, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(i, j, piece): what stands between cut i and cut j, by j; no piece runs over a strong delimiter."""
+    begins, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(s)]
+    strong = [bool(STRONG.search(s[a:b])) for a, b in cuts]
+    for j in range(1, len(begins) + 1):
+        for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
+            if i < j - 1 and strong[i]:
+                break
+            yield i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
+
+
+def candidates(field: str, text: str) -> set[str]:
+    """The pieces of a text that may be values; not its whole, which is no evidence for itself."""
+    s = text.strip()
+    if missing_text(s) or _quoted_values(s):
+        return set()
+    cuts = _cuts(field, s)
+    return {piece for i, j, piece in _spans(s, cuts) if piece and j - i <= len(cuts)}
+
+
+def split_values(field: str, text: str, known: frozenset[str] = frozenset()) -> list[str]:
+    """The values in `text`, in order."""
+    s = text.strip()
+    if missing_text(s):
+        return []
+    if quoted := _quoted_values(s):
+        return quoted
+    cuts = _cuts(field, s)
     if not cuts:
         return [s.strip('"“” ')]
-    begins = [0, *(b for _, b in cuts)]
-    ends = [*(a for a, _ in cuts), len(s)]
     gap = [0.0, *(_delimiter_cost(s[a:b], field) for a, b in cuts)]
-    n = len(begins)
+    n = len(gap)
     best = [0.0] + [1e18] * n
-    came = [0] * (n + 1)
-    strong = [bool(STRONG.search(s[a:b])) for a, b in cuts]
-    for j in range(1, n + 1):
-        for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
-            if i < j - 1 and any(strong[i : j - 1]):
-                break
-            piece = s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
-            if not piece:
-                cost = 0.0
-            elif piece in known or ends[j - 1] in whole.get(begins[i], ()):
-                cost = 0.5
-            else:
-                cost = _grammar(field, piece)
-            if (c := best[i] + cost + gap[i]) < best[j]:
-                best[j], came[j] = c, i
+    came: list[tuple[int, str]] = [(0, "")] * (n + 1)
+    for i, j, piece in _spans(s, cuts):
+        cost = 0.0 if not piece else 0.5 if piece in known else _grammar(field, piece)
+        if (c := best[i] + cost + gap[i]) < best[j]:
+            best[j], came[j] = c, (i, piece)
     out, j = [], n
     while j:
-        i = came[j]
-        if piece := s[begins[i] : ends[j - 1]].strip().strip('"“”').strip():
+        j, piece = came[j]
+        if piece:
             out.append(piece)
-        j = i
     return out[::-1]
 
 
-@lru_cache(maxsize=8)
-def _automaton(words: tuple[str, ...]):
-    import ahocorasick
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(f, k, x) for f, k, t in zip(b["field"], b["key"], b["text"]) for x in candidates(f, t)], columns=["field", "key", "piece"])
+
 
-    a = ahocorasick.Automaton()
-    for w in words:
-        a.add_word(w, w)
-    a.make_automaton()
-    return a
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [(f, k, split_values(f, t, frozenset(() if w is None else w))) for f, k, t, w in zip(b["field"], b["key"], b["text"], b["known"])]
+        yield pd.DataFrame([x for x in out if len(x[2]) > 1], columns=["field", "key", "items"])
 
 
-def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = FIELDS, limit: int = 20_000) -> DataFrame:
+def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(row_id, field, pos, item): one row per value of every field that holds two or more, pos from 1.
 
-    One count per field over all rows for the dictionary, then one map; no shuffle of texts beyond the counts.
+    Texts that may be packed are split once each and come back to their rows by digest.
     """
-    spark = records.sparkSession
-    dictionary = spark.sparkContext.broadcast({f: tuple(known_values(records, f, limit)) for f in fields if f != "pore_size"})  # at most limit * MAX_WORD characters a field
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = dictionary.value
-        tools = {f: (frozenset(words[f]), _automaton(words[f]) if words[f] else None) for f in words}
-        memo: dict[tuple[str, str], list[str]] = {}
-        for b in batches:
-            out: list[tuple] = []
-            for f in fields:
-                known, automaton = tools.get(f, (frozenset(), None))
-                for i, v in zip(b["row_id"], b[f]):
-                    if isinstance(v, str):
-                        items = memo.get((f, v))
-                        if items is None:
-                            if len(memo) > 50_000:
-                                memo.clear()
-                            items = memo[(f, v)] = split_values(f, v, known, automaton)
-                        if len(items) > 1:
-                            out.extend((i, f, k, x) for k, x in enumerate(items, 1))
-            yield pd.DataFrame(out, columns=["row_id", "field", "pos", "item"])
-
-    cols = [F.when(may_be_packed(f) & present(F.col(f)).isNotNull(), F.col(f)).alias(f) for f in fields]
-    few = records.select(F.col(id_col).cast("bigint").alias("row_id"), *cols).where(F.coalesce(*fields).isNotNull())
-    return few.mapInPandas(run, "row_id bigint, field string, pos bigint, item string")
+    packed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(may_be_packed(f), present(F.col(f))).alias("text")) for f in fields]))
+    rows = records.select(F.col(id_col).cast("bigint").alias("row_id"), packed.alias("x")).select("row_id", "x.field", "x.text").where(F.col("text").isNotNull())
+    rows = materialize(rows.withColumn("key", F.unhex(F.md5("text"))))
+    texts = rows.select("field", "key", "text").distinct()
+
+    pieces = texts.mapInPandas(_pieces, "field string, key binary, piece string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    pieces = materialize(pieces)
+    found = pieces.select("field", "piece", "salt").distinct().join(known_values(records, fields), ["field", "piece"])
+    known = pieces.join(found, ["field", "piece", "salt"]).groupBy("field", "key").agg(F.collect_list("piece").alias("known"))  # at most the pieces of one text
+
+    split = texts.join(known, ["field", "key"], "left").select("field", "key", "text", "known").mapInPandas(_split, "field string, key binary, items array<string>")
+    salted = rows.select("row_id", "field", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt"))
+    items = split.join(salted.select("field", "key", "salt").distinct(), ["field", "key"])
+    out = salted.join(items, ["field", "key", "salt"]).select("row_id", "field", F.posexplode("items").alias("pos", "item"))
+    return out.select("row_id", "field", (F.col("pos") + 1).cast("bigint").alias("pos"), "item")

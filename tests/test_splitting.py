@@ -46,3 +46,16 @@ def test_operator(spark):
     assert got == [(1, A, 1, "Orla Linello"), (1, A, 2, "Chidi Hartmund"), (1, Q, 1, "80"), (1, Q, 2, "100")]
     assert split_packed(records(spark, data)).where("row_id = 3").count() == 3000
     assert split_packed(records(spark, [])).count() == 0
+
+
+def test_rare_values_are_known_in_large_tables(spark):
+    one, two = "Dept Y, High St, Leeds LS2 9JT, UK", "Dept Z, Low Rd, York YO1 7EP, UK"
+    many = spark.range(44_000).selectExpr("id AS record_id", "concat('Dept A', lpad(id div 2, 6, '0'), ', Old Rd, Bath, UK') AS physical_address")
+    few = spark.createDataFrame([(-1, one), (-2, two), (-3, f"{one} / {two}")], "record_id bigint, physical_address string")
+    df = many.unionByName(few).selectExpr("*", *[f"CAST(null AS string) AS {c}" for c in (A, E, Q)])
+    assert rows(split_packed(df)) == [(-3, P, 1, one), (-3, P, 2, two)]
+
+
+def test_a_packed_text_is_no_evidence_for_itself(spark):
+    got = split_packed(records(spark, [{"record_id": 1, E: "a@b.test c@d.test"}, {"record_id": 2, E: "a@b.test c@d.test,"}]))
+    assert rows(got) == [(i, E, k, x) for i in (1, 2) for k, x in ((1, "a@b.test"), (2, "c@d.test"))]
