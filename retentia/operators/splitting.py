@@ -1,14 +1,17 @@
 """Several values packed in one field: segmentation guided by a dictionary of known whole values.
 
-Known whole values are those that stand alone in a field without anything that could be a delimiter. Every piece of a packed text
-between two places where a value may begin or end is looked up among all of them; dynamic programming over these places then
+Known whole values are those that fill a field alone, with or without commas, `and` and other weak delimiters inside, and pieces with
+such delimiters that stand in quotes or between strong delimiters (`;`, `|`, line breaks) of two texts. Every piece of a packed text
+between two places where a value may begin or end is looked up among all of them (just the matches an automaton over the
+dictionary would give there, without holding it in memory); dynamic programming over these places then
 picks the cheapest cover of the text by values and delimiters. A known value costs least, a value that the field's
 grammar accepts more, an unknown one most; a delimiter inside a known value, in quotes, or inside what the grammar takes as one
 value (`Last, First`, an address with its commas, a range) is protected because the cover without the cut is cheaper.
 
 The dictionary has no bound and never leaves the executors: the pieces of the distinct packed texts are joined with the distinct
-values, a frequent piece or text over `SALTS` places. A text that may be packed is no evidence that its whole is one value. Values
-that stand alone nowhere are cut by the grammar alone, which decides by postcodes and the forms of names.
+values, a frequent piece or text over `SALTS` places. A text is no evidence that its own whole is one value: for that it has
+to be found between strong delimiters elsewhere. A value is not protected where it falls into pieces that are values themselves
+(`80, 100`, or two full names): there, and for values found nowhere else, the grammar alone decides, by postcodes and the forms of names.
 
 Defined results: missing fields and fields with a single value give no row; empty pieces do not count; repeated rows
 are split alike; very long texts are cut by the same rules (the cover is linear in the number of delimiters, a value spans at
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from retentia.common import materialize, missing_text, present, strip
 
 FIELDS = ("corresponding_author_name", "corresponding_email_address", "physical_address", "pore_size")
-SPAN, SALTS = 12, 32
+SPAN, SALTS, WELL_FORMED = 12, 32, 1.2
 # What may stand between two values.
 DELIMITER = re.compile(r"\s*(?:\|\||[;|\n\r]|,|\s/\s|/|\s&\s|&|\s\+\s|\+|\s(?:and|or|und|oder)\s)(?:\s*(?:\|\||[;|\n\r,]|(?:and|or|und)\s))*\s*|\s+")
 STRONG = re.compile(r"\|\||[;|\n\r]")
@@ -53,19 +57,22 @@ def may_be_packed(field: str) -> Column:
 
 
 def _alone(field: str) -> Column:
-    """The field's value where it stands alone, else null."""
+    """The field's value if nothing strong parts it, else null."""
     v = strip(present(F.col(field)))
-    if field == "physical_address":  # its commas belong to it; anything stronger does not
-        return F.when(~v.rlike(r"[;|\n\r\"&+]|\s/\s|\s(?:or|und)\s"), v)
-    if field == "corresponding_email_address":  # blanks may part mails
-        return F.when(~v.rlike(r"[;|\"&+,/\s]"), v)
-    return F.when(~v.rlike(r"[;|\n\r\"&+,/]|\s(?:and|or|und)\s"), v)
+    # blanks may part mails
+    return F.when(~v.rlike(r"[;|\"“”\s]|@.*@" if field == "corresponding_email_address" else r"[;|\n\r\"“”]"), v)
 
 
-def known_values(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(field, piece): every distinct value that stands alone in its field."""
+def known_values(records: DataFrame, delimited: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, piece, part, whole): whether a value is known as part of a text, and as the whole of one.
+
+    `delimited` (field, key, piece): what stands in quotes or between strong delimiters of the text `key`.
+    """
     long = records.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _alone(f).alias("piece")) for f in fields])).alias("x"))
-    return long.select("x.field", "x.piece").where(F.col("piece").isNotNull()).distinct()
+    alone = long.select("x.field", "x.piece", F.lit(True).alias("alone"), F.lit(None).cast("binary").alias("key")).where(F.col("piece").isNotNull())
+    g = alone.unionByName(delimited.select("field", "piece", F.lit(False).alias("alone"), "key")).groupBy("field", "piece")
+    g = g.agg(F.max("alone").alias("alone"), F.min("key").alias("k1"), F.max("key").alias("k2"))
+    return g.select("field", "piece", (F.col("alone") | F.coalesce(F.col("k1") != F.col("k2"), F.lit(False))).alias("part"), F.col("k1").isNotNull().alias("whole"))
 
 
 def _grammar(field: str, s: str) -> float | None:
@@ -109,6 +116,7 @@ def _delimiter_cost(d: str, field: str) -> float:
     return 0.4 if field != "physical_address" else 0.8 if t != "," else 1.5
 
 
+_WEAK = re.compile(r"[,/&+]|\s(?:and|or|und|oder)\s")
 _QUOTED = re.compile(r"\"([^\"]*)\"|“([^”]*)”")
 
 
@@ -142,13 +150,23 @@ def _spans(s: str, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]
             yield i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
 
 
-def candidates(field: str, text: str) -> set[str]:
-    """The pieces of a text that may be values; not its whole, which is no evidence for itself."""
+def candidates(field: str, text: str) -> set[tuple[str, str]]:
+    """(kind, piece): what may be a value in a text (`part`, or `whole` if nothing else is in it), and what is `delimited`: in quotes or between strong delimiters."""
     s = text.strip()
-    if missing_text(s) or _quoted_values(s):
+    if missing_text(s):
         return set()
+    if quoted := _quoted_values(s):
+        return {("delimited", q) for q in quoted if _WEAK.search(q)}
     cuts = _cuts(field, s)
-    return {piece for i, j, piece in _spans(s, cuts) if piece and j - i <= len(cuts)}
+    n = len(cuts) + 1
+    strong = [0, *(k for k, (a, b) in enumerate(cuts, 1) if STRONG.search(s[a:b])), n]
+    spans = list(_spans(s, cuts))
+    full = [i for i, j, piece in spans if piece and j - i == 1]
+    out = {("whole" if i <= full[0] and j > full[-1] else "part", piece) for i, j, piece in spans if piece} if n > 1 else set()
+    if len(strong) > 2:
+        ends = set(zip(strong, strong[1:]))
+        out |= {("delimited", piece) for i, j, piece in spans if (i, j) in ends and _WEAK.search(piece)}
+    return out
 
 
 def split_values(field: str, text: str, known: frozenset[str] = frozenset()) -> list[str]:
@@ -165,8 +183,19 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset()) ->
     n = len(gap)
     best = [0.0] + [1e18] * n
     came: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    for i, j, piece in _spans(s, cuts):
-        cost = 0.0 if not piece else 0.5 if piece in known else _grammar(field, piece)
+    spans = list(_spans(s, cuts))
+    at = {(i, j): piece for i, j, piece in spans}
+
+    @lru_cache(maxsize=None)
+    def value(i: int, j: int) -> bool:
+        return not at[i, j] or at[i, j] in known or _grammar(field, at[i, j]) <= WELL_FORMED
+
+    @lru_cache(maxsize=None)
+    def parted(i: int, j: int) -> bool:  # into pieces that are values themselves
+        return any(value(k, j) and (value(i, k) or parted(i, k)) for k in range(i + 1, j))
+
+    for i, j, piece in spans:
+        cost = 0.0 if not piece else 0.5 if piece in known and not parted(i, j) else _grammar(field, piece)
         if (c := best[i] + cost + gap[i]) < best[j]:
             best[j], came[j] = c, (i, piece)
     out, j = [], n
@@ -179,7 +208,7 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset()) ->
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(f, k, x) for f, k, t in zip(b["field"], b["key"], b["text"]) for x in candidates(f, t)], columns=["field", "key", "piece"])
+        yield pd.DataFrame([(f, k, *x) for f, k, t in zip(b["field"], b["key"], b["text"]) for x in candidates(f, t)], columns=["field", "key", "kind", "piece"])
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,10 +227,13 @@ def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[st
     rows = materialize(rows.withColumn("key", F.unhex(F.md5("text"))))
     texts = rows.select("field", "key", "text").distinct()
 
-    pieces = texts.mapInPandas(_pieces, "field string, key binary, piece string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    pieces = texts.mapInPandas(_pieces, "field string, key binary, kind string, piece string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     pieces = materialize(pieces)
-    found = pieces.select("field", "piece", "salt").distinct().join(known_values(records, fields), ["field", "piece"])
-    known = pieces.join(found, ["field", "piece", "salt"]).groupBy("field", "key").agg(F.collect_list("piece").alias("known"))  # at most the pieces of one text
+    asked = pieces.where("kind <> 'delimited'")
+    values = known_values(records, pieces.where("kind = 'delimited'"), fields)
+    found = asked.select("field", "piece", "salt").distinct().join(values, ["field", "piece"])
+    hits = asked.join(found, ["field", "piece", "salt"]).where(F.when(F.col("kind") == "whole", F.col("whole")).otherwise(F.col("part")))
+    known = hits.groupBy("field", "key").agg(F.collect_list("piece").alias("known"))  # at most the pieces of one text
 
     split = texts.join(known, ["field", "key"], "left").select("field", "key", "text", "known").mapInPandas(_split, "field string, key binary, items array<string>")
     salted = rows.select("row_id", "field", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt"))

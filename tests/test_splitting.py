@@ -59,3 +59,19 @@ def test_rare_values_are_known_in_large_tables(spark):
 def test_a_packed_text_is_no_evidence_for_itself(spark):
     got = split_packed(records(spark, [{"record_id": 1, E: "a@b.test c@d.test"}, {"record_id": 2, E: "a@b.test c@d.test,"}]))
     assert rows(got) == [(i, E, k, x) for i in (1, 2) for k, x in ((1, "a@b.test"), (2, "c@d.test"))]
+
+
+def test_whole_values_with_delimiters_are_known(spark):
+    data = [
+        {"record_id": 1, A: "Smith and Sons and Orla Linello"},
+        {"record_id": 2, A: "Smith and Sons"},
+        {"record_id": 3, A: "Orla Linello, Chidi Hartmund, M. Pelquist"},
+        {"record_id": 4, A: "Orla Linello, Chidi Hartmund"},  # two values: no protection for record 3
+        {"record_id": 5, Q: "80, 100, 300"},
+        {"record_id": 6, Q: "80, 100"},
+        {"record_id": 7, Q: "80 mixed, narrow / 300"},
+        {"record_id": 8, Q: "80 mixed, narrow"},
+    ]
+    got = [r for r in rows(split_packed(records(spark, data))) if r[0] in (1, 3, 5, 7)]
+    want = {1: (A, ["Smith and Sons", "Orla Linello"]), 3: (A, ["Orla Linello", "Chidi Hartmund", "M. Pelquist"]), 5: (Q, ["80", "100", "300"]), 7: (Q, ["80 mixed, narrow", "300"])}
+    assert got == [(i, f, k, x) for i, (f, v) in want.items() for k, x in enumerate(v, 1)]
