@@ -1,7 +1,7 @@
 """Best representative of each duplicate group, by currency reasoning.
 
 Every record gets how complete it is (filled entries), when it was made, and how sure it is. Where the time is missing, the
-order of values stands in: from all groups, transitions between the values of a field in timestamped rows are counted, the
+order of values stands in: from all groups, transitions between the confidences of timestamped rows are counted, the
 majority direction of every pair becomes a precedence (cycles lose their weakest link), and an undated record is
 placed at the latest dated record of its group whose value precedes or equals its own. The survivor takes every field from the
 latest record that has it, ties by the topologically later value, then the surer, then the fuller record, then the smaller id.
@@ -21,6 +21,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from retentia.common import is_missing, present, strip
 from retentia.llm.recordhash import canonical, digests
@@ -95,6 +96,16 @@ def _rank(c: Column, ranks: dict[int, int]) -> Column:
     return out
 
 
+def _placed(sure: Column, ranks: dict[int, int]) -> Column:
+    """Time of an undated record of the given surety: the latest of its group (columns t0, t1, ...) among the values that precede or equal its own."""
+    levels = range(len(SURETY) + 1)
+    at = F.lit(None).cast("timestamp")
+    for k in levels:
+        not_later = [v for v in levels if v == k or ranks.get(v, -1) < ranks.get(k, -1)]
+        at = F.when(sure == k, F.greatest(F.lit(None).cast("timestamp"), *[F.col(f"t{v}") for v in not_later])).otherwise(at)
+    return at
+
+
 def best_records(records: DataFrame) -> DataFrame:
     """(first_id, best_id): groups in which one record is at least as full, as late and as sure as every other one and better than each in something.
 
@@ -115,11 +126,7 @@ def best_records(records: DataFrame) -> DataFrame:
     ).where("last_id > first_id")
 
     def placed(x: Column) -> Column:
-        at = F.lit(None).cast("timestamp")
-        for k in levels:
-            not_later = [v for v in levels if v == k or ranks.get(v, -1) < ranks.get(k, -1)]
-            at = F.when(x["sure"] == k, F.greatest(F.lit(None).cast("timestamp"), *[F.col(f"t{v}") for v in not_later])).otherwise(at)
-        return F.struct(x["n_filled"].alias("n_filled"), at.alias("at"), x["sure"].alias("sure"), x["n"].alias("n"), x["lo"].alias("lo"), x["hi"].alias("hi"))
+        return F.struct(x["n_filled"].alias("n_filled"), _placed(x["sure"], ranks).alias("at"), x["sure"].alias("sure"), x["n"].alias("n"), x["lo"].alias("lo"), x["hi"].alias("hi"))
 
     all_states = F.concat(F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<struct<n_filled:int,at:timestamp,sure:int,n:bigint,lo:bigint,hi:bigint>>")), F.transform("undated", placed))
     tops = F.filter(all_states, lambda x: (x["n_filled"] == F.col("f")) & x["at"].eqNullSafe(F.col("t")) & (x["sure"] == F.col("s")))
@@ -128,20 +135,25 @@ def best_records(records: DataFrame) -> DataFrame:
 
 
 def survivors(records: DataFrame) -> DataFrame:
-    """(first_id, copies, confidence, qwen, mistral, one column per evidence entry): each group's record built field by field."""
+    """(first_id, copies, confidence, qwen, mistral, one column per evidence entry): each group's record built field by field.
+
+    The place of an undated record depends on its surety alone, so each (group, surety, dated or not) keeps its best
+    value of every field, at most eight rows a group; these are then placed and compared.
+    """
     full = states(records)
     ranks = learn_precedence(full.select("root", canonical().alias("form"), "ts", "sure"))
-    s = full.select("root", canonical().alias("form"), "id", "n_filled", "ts", "sure", *[f"e{k}" for k in range(len(EVIDENCE) + len(MODELS))], "e_conf")
-    order = (F.col("ts"), _rank(F.col("sure"), ranks), F.col("sure"), F.col("n_filled"), -F.col("id"))
-
-    def pick(c: str, surest_first: bool = False) -> Column:
-        key = (F.col("sure"), *order) if surest_first else order
-        named = [k.alias(f"k{i}") for i, k in enumerate(key)]
-        return F.max(F.when(F.col(c).isNotNull(), F.struct(*named, F.col(c).alias("v"))))["v"]
-
-    names = [*(f"evidence_{f}" for f in EVIDENCE), *MODELS]
-    return (
-        s.groupBy("root", "form")
-        .agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), pick("e_conf", True).alias("confidence"), *[pick(f"e{k}").alias(n) for k, n in enumerate(names)])
-        .drop("root", "form")
-    )
+    values = {f"e{k}": n for k, n in enumerate([*(f"evidence_{f}" for f in EVIDENCE), *MODELS])} | {"e_conf": "confidence"}
+    s = full.select("root", canonical().alias("form"), "id", "n_filled", "ts", "sure", *values)
+    kept = [F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "n_filled", (-F.col("id")).alias("k"), F.col(c).alias("v")))).alias(c) for c in values]
+    best = s.groupBy("root", "form", "sure", F.col("ts").isNotNull().alias("dated")).agg(F.min("id").alias("lo"), F.count("*").alias("n"), F.max("ts").alias("t"), *kept)
+    group = Window.partitionBy("root", "form")
+    best = best.select("*", *[F.max(F.when(F.col("sure") == k, F.col("t"))).over(group).alias(f"t{k}") for k in range(len(SURETY) + 1)])
+    best = best.withColumn("at", _placed(F.col("sure"), ranks)).withColumn("rank", _rank(F.col("sure"), ranks))
+
+    def pick(c: str) -> Column:
+        x = F.col(c)
+        key = [F.coalesce(x["ts"], F.col("at")).alias("at"), F.col("rank"), F.col("sure"), x["n_filled"].alias("n_filled"), x["k"].alias("k")]
+        surest = [F.col("sure").alias("first")] if c == "e_conf" else []
+        return F.max(F.when(x.isNotNull(), F.struct(*surest, *key, x["v"].alias("v"))))["v"].alias(values[c])
+
+    return best.groupBy("root", "form").agg(F.min("lo").alias("first_id"), F.sum("n").alias("copies"), pick("e_conf"), *[pick(c) for c in values if c != "e_conf"]).drop("root", "form")

@@ -87,3 +87,13 @@ def test_survivor_is_built_field_by_field(spark):
     ]
     s = survivor.survivors(records(spark, data)).first()
     assert (s["first_id"], s["copies"], s["confidence"], s["evidence_critical_condition_basis"], s["evidence_critical_component"], s["qwen"], s["mistral"]) == (1, 2, "explicit", "new", "only", "explicit", "unclear")
+
+
+def test_survivor_places_undated_records(spark):
+    ev = lambda v: (v, *[None] * 7)
+    data = []
+    for g in range(3):  # unclear comes before explicit everywhere
+        data += [rec(100 + 2 * g, paper_id=f"L{g}", run_ts=T, critical_condition_confidence="unclear"), rec(101 + 2 * g, paper_id=f"L{g}", run_ts=T + timedelta(days=1), critical_condition_confidence="explicit")]
+    data += [rec(1, run_ts=T, critical_condition_confidence="unclear", field_evidence=ev("dated")), rec(2, critical_condition_confidence="explicit", field_evidence=ev("later"))]
+    got = {r["first_id"]: r for r in survivor.survivors(with_clashes(records(spark, data))).collect()}
+    assert (got[1]["evidence_critical_condition_basis"], got[1]["confidence"], got[1]["copies"], len(got)) == ("later", "explicit", 2, 4)
