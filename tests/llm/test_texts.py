@@ -158,6 +158,14 @@ def test_mix_against_a_plain_loop(spark, monkeypatch):
     assert s["gone"]["reached_tokens"] == 0 and abs(sum(r["reached_share"] for r in s.values()) - 1) < 1e-9 and s["b"]["most_copies"] <= 2
 
 
+def test_mix_takes_documents_of_the_least_weight(spark):
+    docs = spark.createDataFrame([(i, "12345", "a") for i in range(300)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    each = mixing.with_tokens(docs.limit(1), "text").first()["tokens"]
+    chosen, _ = mixing.mix(docs, targets, total_tokens=299 * each)
+    assert chosen.count() == 299
+
+
 def test_mix_edges(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mix(corpus(spark).limit(0), targets)
