@@ -45,7 +45,8 @@ def _departing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _departing(spark, d).select("table_id", "row_id", "field")
+    kinds = ":(" + "|".join(unify.DEPARTING) + r")(\s|$)"
+    return _departing(spark, d).where(F.col("places").rlike(kinds)).select("table_id", "row_id", "field")
 
 
 def p7_unified(spark: SparkSession, d: str) -> DataFrame:

@@ -1,23 +1,26 @@
 """Visually identical text: one consistent form, touching only the unstable places.
 
-A quick check isolates the segments of a text that a normal form could change: full-width forms, combining marks, invisible
-characters, blanks other than the plain one, and letters of another script. Each segment is widened to its boundary (the
-base letter before a combining mark, the whole word around a foreign letter), normalised alone and spliced back into the unchanged rest.
+The properties of the Unicode tables decide which characters are unstable: those whose normalization quick check (NFC) is No or
+Maybe, combining marks, those that a compatibility form folds without changing their look (width, font, ligature and presentation forms, no-break
+forms; not superscripts, fractions or circled signs), blanks other than the plain one, and characters without a look of their own.
+A maximal run of unstable characters together with the stable one before it is a segment: nothing outside can
+combine with it, so it is normalised alone and spliced into the unchanged rest. This is repeated until the text is stable.
 Texts that pass the quick check in the JVM never reach Python.
 
 Letters of another script count where they stand for a Latin letter: in a word that also has Latin letters, or in a word
 made of look-alikes only. A word of another script with a letter that no Latin letter looks like is really written in
 that script; Greek letters of chemical names (alpha, epsilon and so on) have no look-alike here.
 
-Defined results: null stays null; tabs, line breaks and composed accents are left; empty and very long texts, ties and
-repeated rows are handled row by row; an empty table gives an empty result.
+Defined results: null stays null; tabs, line breaks and composed accents are left; a mark that no composed character takes up
+belongs to the consistent form; empty and very long texts, ties and repeated rows are handled row by row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -26,61 +29,145 @@ from pyspark.sql import functions as F
 
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
-    **dict(zip("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX")),
-    **dict(zip("аеіјорсѕухԁһ", "aeijopcsyxdh")),
-    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX")),
+    **dict(zip("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX")),  # Cyrillic
+    **dict(zip("аеіјорсѕухԁһԛԝ", "aeijopcsyxdhqw")),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX")),  # Greek
     **dict(zip("οινρυϲϳ", "oivpucj")),
+    **dict(zip("ՏՕՍԼհոսօցզ", "SOULhnuogq")),  # Armenian
+    **dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZRSLCPKB")),  # Cherokee
+    **dict(zip("ⲞⲢⲤⲎⲔⲘⲚⲦⲬ", "OPCHKMNTX")),  # Coptic
 }
-_FULL = "\uff01-\uff5e\uffe0-\uffe6"
-_BLANK = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-_INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
-_MARK = "\u0300-\u034e\u0350-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f"
-_FOREIGN = "\u0370-\u03ff\u0400-\u052f"
-#: JVM-side quick check: a text without any of these is stable.
-QUICK = f"[{_FULL}{_BLANK}{_INVISIBLE}{_MARK}{_FOREIGN}]"
-_PLAIN = re.compile(f"[{_FULL}]+|[{_BLANK}]|[{_INVISIBLE}]+|.?[{_MARK}]+", re.S)
-_ANY = re.compile(QUICK)
-_WORD = re.compile(rf"(?:[^\W\d_]|[{_INVISIBLE}{_MARK}])+")
-_LATIN = re.compile("[A-Za-z\u00c0-\u024f\uff21-\uff3a\uff41-\uff5a]")
-_FOREIGN_RE = re.compile(f"[{_FOREIGN}]")
-
-
-def _kind(s: str) -> str:
-    c = s[-1]
-    return "full-width" if re.match(f"[{_FULL}]", c) else "blank" if re.match(f"[{_BLANK}]", c) else "mark" if re.match(f"[{_MARK}]", c) else "invisible"
-
-
-@lru_cache(maxsize=65536)
-def unify(text: str) -> tuple[str, tuple[tuple[int, str], ...]]:
-    """(consistent form, places (index, kind) that departed from it)."""
-    if not _ANY.search(text):
-        return text, ()
-    places: list[tuple[int, str]] = []
-    swaps: list[tuple[int, int, str]] = []
-    for m in _PLAIN.finditer(text):
-        kind = _kind(m[0])
-        places.append((m.start(), kind))
-        new = {"full-width": lambda s: unicodedata.normalize("NFKC", s), "blank": lambda s: " ", "invisible": lambda s: "", "mark": lambda s: unicodedata.normalize("NFC", s)}[kind](m[0])
-        swaps.append((m.start(), m.end(), new))
+#: Kinds of places that are listed as departing; `compatibility`, `equivalent` and `separator` are put right as well.
+DEPARTING = ("full-width", "blank", "invisible", "mark", "look-alike")
+_BREAKS = "\t\n\x0b\x0c\r"
+# Default-ignorable characters that are not format characters, and format characters that show.
+_IGNORABLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x2065, 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xFFF0, 0xFFF9), *range(0xE0000, 0xE1000)}
+_SHOWN = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B)}
+_FOLDED = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<square>", "<vertical>")
+
+
+class Tables:
+    """What the Unicode tables say: `fold` maps a character to (kind, text), `joining` may change with what stands before."""
+
+    def __init__(self) -> None:
+        self.fold: dict[str, tuple[str, str]] = {"‐": ("compatibility", "-"), "‑": ("compatibility", "-"), "\x85": ("separator", "\n"), " ": ("separator", "\n"), " ": ("separator", "\n")}
+        self.joining: set[str] = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of conjoining syllables
+        for code in range(sys.maxunicode + 1):
+            c = chr(code)
+            category = unicodedata.category(c)
+            if category in ("Cn", "Cs", "Co") and code not in _IGNORABLE:
+                continue
+            if code in _IGNORABLE or (category == "Cf" and code not in _SHOWN) or (category == "Cc" and c not in _BREAKS + "\x85"):
+                self.fold[c] = "invisible", ""
+            elif category == "Zs" and c != " ":
+                self.fold[c] = "blank", " "
+            elif c in self.fold:
+                continue
+            elif not unicodedata.is_normalized("NFC", c):
+                self.fold[c] = "equivalent", unicodedata.normalize("NFC", c)
+            elif unicodedata.combining(c):
+                self.joining.add(c)
+            elif (tag := unicodedata.decomposition(c).partition(" ")[0]) in _FOLDED and not 0x3131 <= code <= 0x318E:
+                if " " not in (text := unicodedata.normalize("NFKC", c)):  # accents that stand alone fold to a blank and a mark
+                    self.fold[c] = "full-width" if tag == "<wide>" else "compatibility", text
+            elif (name := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28:
+                self.fold[c] = "compatibility", name[-1]
+            if len(parts := unicodedata.decomposition(c).split()) == 2 and "<" not in parts[0]:
+                second = chr(int(parts[1], 16))
+                if unicodedata.normalize("NFC", chr(int(parts[0], 16)) + second) == c:
+                    self.joining.add(second)
+        for c in [k for k in self.joining if k in self.fold]:
+            self.joining.discard(c)
+
+
+def ranges(chars: Iterable[str], code: str) -> str:
+    """A character class; `code` writes one code point."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join((code % a) + ("-" + code % b if b > a else "") for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[Tables, re.Pattern, re.Pattern]:
+    """The tables, the pattern of a segment, and that of any character that can make a text unstable."""
+    t = Tables()
+    unstable = "".join(r"\U%08x" % ord(c) for c in sorted({*t.fold, *t.joining}))
+    return t, re.compile(f"(?s:.)?[{unstable}]+"), re.compile(f"[{unstable}{''.join(LOOKALIKES)}]")
+
+
+def quick_check(c: Column) -> Column:
+    """JVM side: false only for stable texts. Plain ASCII is asked first, the class of all unstable characters only for the rest."""
+    t = tables()[0]
+    every = ranges({*t.fold, *t.joining, *LOOKALIKES}, r"\x{%x}")
+    return c.rlike(r"[^\x09-\x0d\x20-\x7e]") & c.rlike(f"[{every}]")
+
+
+@lru_cache(maxsize=4096)
+def _latin(c: str) -> bool:
+    return unicodedata.name(c, "").startswith(("LATIN", "FULLWIDTH LATIN", "FEMININE", "MASCULINE"))
+
+
+def _spliced(text: str, swaps: list[tuple[int, int, str]], origin: list[int]) -> tuple[str, list[int]]:
+    out, new, at = [], [], 0
+    for a, b, s in swaps:
+        out += [text[at:a], s]
+        new += origin[at:a] + [origin[a]] * len(s)
+        at = b
+    return "".join([*out, text[at:]]), new + origin[at:]
+
+
+def _segments(text: str, origin: list[int], places: dict[int, str]) -> tuple[str, list[int]]:
+    """Every segment in its normal form."""
+    t, segment, _ = tables()
+    swaps = []
+    for m in segment.finditer(text):
+        folded = "".join(t.fold[c][1] if c in t.fold else c for c in m[0])
+        whole = unicodedata.normalize("NFC", folded)
+        if whole != m[0]:
+            for k, c in enumerate(m[0], m.start()):
+                if c in t.fold:
+                    places.setdefault(origin[k], t.fold[c][0])
+                elif c in t.joining and whole != folded:
+                    places.setdefault(origin[k], "mark")
+            swaps.append((m.start(), m.end(), whole))
+    return _spliced(text, swaps, origin)
+
+
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_ANY_LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
+
+
+def _letters(text: str, origin: list[int], places: dict[int, str]) -> tuple[str, list[int]]:
+    """Letters that stand for Latin ones."""
+    swaps = []
     for w in _WORD.finditer(text):
-        if not _FOREIGN_RE.search(w[0]):
+        if not _ANY_LOOKALIKE.search(w[0]):
             continue
-        foreign = [(w.start() + k, c) for k, c in enumerate(w[0]) if _FOREIGN_RE.match(c)]
+        foreign = [(w.start() + k, c) for k, c in enumerate(w[0]) if c.isalpha() and not _latin(c)]
         stands = [(i, c) for i, c in foreign if c in LOOKALIKES]
-        if stands and (_LATIN.search(w[0]) or len(stands) == len(foreign)):
+        if len(foreign) < sum(map(str.isalpha, w[0])) or len(stands) == len(foreign):
             for i, c in stands:
-                places.append((i, "look-alike"))
+                places.setdefault(origin[i], "look-alike")
                 swaps.append((i, i + 1, LOOKALIKES[c]))
-    if not swaps:
+    return _spliced(text, swaps, origin)
+
+
+@lru_cache(maxsize=65536)
+def unify(text: str) -> tuple[str, tuple[tuple[int, str], ...]]:
+    """(consistent form, places (index, kind) that departed from it)."""
+    if text.isascii() and text.isprintable() or not tables()[2].search(text):
         return text, ()
-    out, at = [], 0
-    for a, b, new in sorted(swaps):
-        if a >= at:
-            out += [text[at:a], new]
-            at = b
-    out.append(text[at:])
-    done = "".join(out)
-    return done if unicodedata.is_normalized("NFC", done) else unicodedata.normalize("NFC", done), tuple(sorted(places))
+    places: dict[int, str] = {}
+    done, origin = text, list(range(len(text)))
+    while True:
+        new, origin = _letters(*_segments(done, origin, places), places)
+        if new == done:
+            return done, tuple(sorted(places.items()))
+        done = new
 
 
 _OUT = "table_id string, row_id bigint, field string, canonical string, places string, n_places int"
@@ -98,6 +185,6 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def departing(df: DataFrame, table_id: str, id_col: str, fields: dict[str, Column]) -> DataFrame:
     """(table_id, row_id, field, canonical, places, n_places): the values that are not in the consistent form."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(c.rlike(QUICK), c).alias("value")) for n, c in fields.items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(quick_check(c), c).alias("value")) for n, c in fields.items()]))
     long = df.select(F.col(id_col).cast("bigint").alias("row_id"), pairs.alias("x")).select(F.lit(table_id).alias("table_id"), "row_id", "x.field", "x.value").where("value is not null")
     return long.mapInPandas(_batches, _OUT)

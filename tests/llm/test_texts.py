@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import pandas as pd
 import pytest
@@ -32,6 +33,42 @@ def test_no_case(text):
     assert unify.unify(text) == (text, ())
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Å", "Å"), ("273 K", "273 K"), ("ﬁlm", "film"), ("typ Ⅳ", "typ IV"), ("\U0001d40f\U0001d412", "PS"), ("ｶﾀ", "カタ"), ("հexane սltra", "hexane ultra"), ("ᏢS", "PS"), ("ᴘᴍᴍᴀ", "PMMA"), ("a\u2028b", "a\nb"),
+        ("P\U000e0020S", "PS"), ("P\u3164S", "PS"), ("C\u201118", "C-18"), ("а\u0301b", "áb"), ("\U0001d6b8\U0001d6c0", "ΡΩ"), ("각", "각"), ("e\u200d\u0301", "é"), ("q\u0323\u0307", "q\u0323\u0307"),
+    ],
+)
+def test_forms_of_the_unicode_tables(text, want):
+    assert unify.unify(text)[0] == want and unify.unify(want) == (want, ())
+
+
+@pytest.mark.parametrize("text", ["x\u0304", "m² H₂O ½ ①", "¨", "ㄱㅏ", "हिन्दी", "שָׁלוֹם"[:1]])
+def test_what_looks_different_or_has_no_composed_form_stays(text):
+    assert unify.unify(text) == (text, ())
+
+
+def test_the_form_is_a_fixed_point_and_the_quick_check_complete(spark):
+    """Over all code points, alone, behind a letter, and before a mark."""
+    any_unstable = unify.tables()[2]
+    codes = [c for c in map(chr, range(0x110000)) if any_unstable.search(c)]  # unify gives any other text back at once
+    assert all(unicodedata.is_normalized("NFC", chr(c)) or chr(c) in unify.tables()[0].fold for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    changed = []
+    for c in codes:
+        for text in (c, f"a{c}", f"{c}\u0301", f"x{c}y"):
+            new, places = unify.unify.__wrapped__(text)
+            if places or new != text:
+                again = unify.unify.__wrapped__(new)
+                assert again == (new, ()), (text, new, again)
+                assert places, text
+        if unify.unify.__wrapped__(c)[1]:
+            changed.append(c)
+    df = spark.createDataFrame([(c, f"x {c}") for c in codes if c > "~"], "c string, t string")
+    seen = {r[0] for r in df.where(unify.quick_check(F.col("t"))).collect()}
+    assert {c for c in changed if c > "~"} <= seen
+
+
 def test_unify_table(spark):
     df = with_clashes(records(spark, [{"record_id": 1, "analyte_polymer": "P​S", "critical_component": None}, {"record_id": 2, "analyte_polymer": "​" + "x" * 200_000}, {}, {"record_id": 3, "analyte_polymer": "PS"}]))
     f = lambda d: rows(unify.departing(d, "records", "record_id", {"analyte_polymer": F.col("analyte_polymer")}).select("row_id", "places"))
