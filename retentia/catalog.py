@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import importlib
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from retentia import problems
+from retentia.plans import queries as core
 
 
 def _modules() -> list:
-    mods = [problems]
-    for name in ("retentia.plans.queries", "retentia.llm.queries"):
-        try:
-            mods.append(importlib.import_module(name))
-        except ModuleNotFoundError as e:
-            if not (e.name or "").startswith(name.rpartition(".")[0]):
-                raise
-    return mods
+    """The core modules, and the queries of `llm` unless that subpackage or something it needs is absent."""
+    try:
+        return [problems, core, importlib.import_module("retentia.llm.queries")]
+    except ImportError as e:
+        warnings.warn(f"queries of the subpackage llm are left out: {e}", RuntimeWarning, stacklevel=3)
+        return [problems, core]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

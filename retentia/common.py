@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,18 +40,31 @@ def missing_text(s: object) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or (tests only) a fresh local one."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a local session may do without: it gets a folder of its own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="retentia-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="retentia-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        d = "file://" + d
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that is deleted when the driver's process ends; until then a frame that was returned may read it."""
+    path = f"{shared_dir(spark)}/retentia/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives the loss of executors, prunes columns later."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/retentia/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     w = df.write.mode("error")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.common import shared_dir
+from retentia.common import scratch
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -30,7 +28,7 @@ def without_replays(records: DataFrame, id_col: str, time: str, late: str = "30
 def drain(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a streaming frame over all that is there now, exactly once per batch, and returns the last state written to the shared folder."""
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/retentia/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, f"stream-{name}")
 
     def write(batch: DataFrame, epoch: int) -> None:
         if mode == "complete":

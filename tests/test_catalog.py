@@ -2,7 +2,9 @@ import subprocess
 import sys
 from pathlib import Path
 
-from retentia import catalog
+import pytest
+
+from retentia import catalog, common
 from retentia.operators import matching, quality
 from tests.data import records, rows
 
@@ -17,6 +19,27 @@ def test_catalog_without_the_training_data_operators(tmp_path):
     assert out.stdout.split() == ["0", "True"], out.stderr
 
 
+@pytest.mark.parametrize("absent", ["xxhash", "tiktoken", "retentia.llm.reading"])
+def test_core_queries_stay_without_what_the_training_data_operators_need(absent):
+    code = f"import sys; sys.modules['{absent}'] = None; from retentia import catalog; q = catalog.queries(); print('p3_found' in q, 'summary_export' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert out.stdout.split() == ["True", "True"], out.stderr
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        def get(self, k, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    assert common.materialize(spark.range(3)).count() == 3
+
+
 def test_metadata(spark):
     df = records(spark, [{"record_id": 1, "paper_id": "P", "model": "mistral-24b", "paper_doi": "m"}, {"record_id": 2, "paper_id": "P", "model": "qwen-27b", "paper_doi": ""}, {"record_id": 3, "paper_id": "P", "model": "qwen-27b", "paper_doi": "q"}])
     meta = quality.paper_metadata(df)
