@@ -122,3 +122,14 @@ g AS (SELECT *, min(record_id) OVER w f, count(*) OVER w n, max(nf) OVER w mf, m
 SELECT f first_id, min(record_id) best_id FROM g WHERE n > 1 AND nf = mf AND run_ts = mt AND sure = ms GROUP BY k, f HAVING count(*) = 1
 """,
 }
+_S = f"s AS (SELECT *, coalesce({_EV}, 0) + coalesce({_MC}, 0) nf, CASE lower(trim(critical_condition_confidence)) WHEN 'explicit' THEN 3 WHEN 'strong_inference' THEN 2 WHEN 'unclear' THEN 1 ELSE 0 END sure FROM keyed)"
+
+
+def _latest(c: str, name: str, first: str = "") -> str:
+    """The value of the latest record that has it (all records of the tables have a time)."""
+    miss = "" if first else f" AND lower(trim({c})) <> 'missed'"
+    return f"arg_max({c}, ROW({first}run_ts, sure, nf, -record_id)) FILTER (NOT {_m(c)}{miss}) AS {name}"
+
+
+_picks = [_latest("critical_condition_confidence", "confidence", "sure, ")] + [_latest(f"model_confidences.{m}", m) for m in survivor.MODELS] + [_latest(f"field_evidence.{f}", f"evidence_{f}") for f in survivor.EVIDENCE]
+SQL["p2_survivors"] = f"WITH {_KEYS}, {_S} SELECT min(record_id) first_id, count(DISTINCT record_id) copies, {', '.join(_picks)} FROM s GROUP BY k"

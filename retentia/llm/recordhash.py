@@ -84,4 +84,4 @@ def copy_groups(df: DataFrame, scope: str = "paper_id", id_col: str = "record_id
 def conditions(df: DataFrame, scope: str = "paper_id", id_col: str = "record_id") -> DataFrame:
     """(record_id, copies): the first record of every distinct condition and how many records it stands for."""
     rows = digests(df, scope, id_col).select("id", "root", canonical().alias("form"))
-    return rows.groupBy("root", "form").agg(F.min("id").alias("record_id"), F.count("*").alias("copies")).select("record_id", "copies")
+    return rows.groupBy("root", "form").agg(F.min("id").alias("record_id"), F.count_distinct("id").alias("copies")).select("record_id", "copies")

@@ -1,18 +1,20 @@
 """Best representative of each duplicate group, by currency reasoning.
 
-Every record gets how complete it is (filled entries), when it was made, and how sure it is. Where the time is missing, the
-order of values stands in: from all groups, transitions between the confidences of timestamped rows are counted, the
-majority direction of every pair becomes a precedence (cycles lose their weakest link), and an undated record is
-placed at the latest dated record of its group whose value precedes or equals its own. The survivor takes every field from the
-latest record that has it, ties by the topologically later value, then the surer, then the fuller record, then the smaller id.
-
-Groups are never gathered: everything is max/min of small structs over (group, state) and then over the group, so a group
-with a third of all rows is merged map-side. What reaches the driver is one count per pair of values of closed vocabularies
-(at most 5 x 5 per field).
-
-Defined results: `missed` and missing entries are not filled; a record without time and without dated peers counts as
-older than any dated one; equal records (ties in all three) make no best one; groups of one give no row; an empty table gives an empty
-result.
+Every field of a record is in one of a few states (missing, missed, filled, or how sure a confidence is). Transitions between
+the states are learned from the timestamped records: within a group a state precedes another when it is first seen earlier, every group
+votes, the majority direction of a pair is an edge, and an edge that would close a cycle loses against the heavier ones. The
+transitive closure is a partial order per field; states without a path between them stay unordered.
+
+A record without a time gets one per field: the latest time at which a dated record of its group shows a state that precedes or equals its
+own. As a whole it is as late as the earliest of these, the time all its fields bear out; without one it counts as older than
+any dated record. The best record is at least as full, as late and as sure as every other one. The survivor takes every field
+from the latest record that has it, ties by the surer, then the fuller record, then the smaller id; its confidence is the surest.
+
+Groups are never gathered: everything is max/min of small values over (group, state) and then over the group, so a group
+with a third of all rows is merged map-side. What reaches the driver is one count per pair of states of a field.
+
+Defined results: `missed` and missing entries are not filled; several rows with one id are one record if they say the same; equal
+records (ties in all three) make no best one; groups of one give no row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from retentia.common import is_missing, present, strip
-from retentia.llm.recordhash import canonical, digests
+from retentia.common import is_missing, materialize, present, strip
+from retentia.llm.recordhash import SALTS, canonical, digests
 
 # Surety of a record, surest first.
 SURETY = ("explicit", "strong_inference", "unclear")
 EVIDENCE = ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")
 MODELS = ("qwen", "mistral")
+MISSING, MISSED, FILLED = 0, 1, 2  # states; a confidence that is filled may be in a surer one
+STATES = (6, 6, 6, *[3] * len(EVIDENCE))  # of the record's confidence, the models' confidences, the evidence entries
 
 
 def surety(c: Column) -> Column:
@@ -44,116 +47,114 @@ def filled(c: Column) -> Column:
     return F.when(~is_missing(c) & (F.lower(strip(c)) != "missed"), c)
 
 
-def states(records: DataFrame) -> DataFrame:
-    """(root, form, id, n_filled, ts, sure, entries): the scores of every record beside its group."""
-    fields = [filled(F.col("field_evidence")[f]) for f in EVIDENCE] + [filled(F.col("model_confidences")[m]) for m in MODELS]
-    n = sum((f.isNotNull().cast("int") for f in fields), F.lit(0))
-    keep = (n.alias("n_filled"), F.col("run_ts").alias("ts"), surety(F.col("critical_condition_confidence")).alias("sure"))
-    entries = tuple(f.alias(f"e{k}") for k, f in enumerate(fields)) + (present(F.col("critical_condition_confidence")).alias("e_conf"),)
-    return digests(records, keep=keep + entries)
-
-
-def learn_precedence(scored: DataFrame, value: str = "sure") -> dict[int, int]:
-    """Topological rank of every value of a small closed vocabulary, learned from the dated rows of all groups.
-
-    Within a group a value precedes another when its first dated occurrence is earlier; every group adds one to the
-    count of each ordered pair. The majority direction of a pair is an edge; edges are taken by weight, and one that
-    would close a cycle is left out. The rank of a value is the longest chain of edges before it.
-    """
-    first = scored.where(F.col("ts").isNotNull()).groupBy("root", "form", value).agg(F.min("ts").alias("t"))
-    seen = first.groupBy("root", "form").agg(F.collect_list(F.struct("t", F.col(value).alias("v"))).alias("s")).where(F.size("s") > 1)  # one entry per value of the vocabulary
-    pairs = seen.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: a["t"] < b["t"]), lambda b: F.struct(a["v"].alias("a"), b["v"].alias("b")))))).alias("p"))
-    counts = {(r["a"], r["b"]): r["n"] for r in pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).collect()}
-    return topological({k for ab in counts for k in ab}, counts)
-
-
-def topological(values: set[int], counts: dict[tuple[int, int], int]) -> dict[int, int]:
-    edges: list[tuple[int, int, int]] = []
-    for a, b in combinations(sorted(values), 2):
+def state(c: Column, confidence: bool) -> Column:
+    low = F.lower(strip(c))
+    s = F.when(is_missing(c), MISSING).when(low == "missed", MISSED)
+    if confidence:
+        for k, v in enumerate(reversed(SURETY), FILLED + 1):
+            s = s.when(low == v, k)
+    return s.otherwise(FILLED)
+
+
+def states(records: DataFrame, values: bool = False) -> DataFrame:
+    """(root, form, id, ts, n_filled, sure, vec): the scores of every record beside its group; `vec` holds one digit per field, its state. With the filled values on request."""
+    fields = [F.col("critical_condition_confidence"), *[F.col("model_confidences")[m] for m in MODELS], *[F.col("field_evidence")[f] for f in EVIDENCE]]
+    keep = [F.concat(*[state(c, n == 6).cast("string") for c, n in zip(fields, STATES)]).alias("vec"), F.col("run_ts").alias("ts")]
+    if values:
+        keep += [(present(c) if k == 0 else filled(c)).alias(f"e{k}") for k, c in enumerate(fields)]
+    entries = F.substring("vec", 2, len(STATES) - 1)
+    n_filled, sure = F.length(F.translate(entries, "01", "")), F.substring("vec", 1, 1).cast("int") - FILLED
+    out = digests(records, keep=tuple(keep))
+    return out.select("root", canonical().alias("form"), "id", "ts", n_filled.alias("n_filled"), F.greatest(sure, F.lit(0)).alias("sure"), "vec", *[f"e{k}" for k in range(len(STATES)) if values])
+
+
+def _state(k: int) -> Column:
+    return F.substring("vec", k + 1, 1)
+
+
+Order = list[set[tuple[int, int]]]
+
+
+def learn_precedence(scored: DataFrame) -> Order:
+    """For every field the pairs (a, b) of states with a before b, learned from the dated records of all groups."""
+    dated = scored.where(F.col("ts").isNotNull())
+    seen = [F.min(F.when(_state(k) == str(v), F.col("ts"))).alias(f"f{k}_{v}") for k, n in enumerate(STATES) for v in range(n)]
+    first = dated.groupBy("root", F.xxhash64("form").alias("h")).agg(F.min("vec").alias("v0"), F.max("vec").alias("v1"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), *seen).where("v0 <> v1 and t0 < t1")
+    each = F.array(*[F.struct(F.lit(k).alias("field"), F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"f{k}_{v}").alias("t")) for v in range(n)]).alias("s")) for k, n in enumerate(STATES)])
+    s = first.select(F.explode(each).alias("x")).select("x.field", "x.s")
+    later = lambda a: F.transform(F.filter("s", lambda b: a["t"] < b["t"]), lambda b: F.struct(a["v"].alias("a"), b["v"].alias("b")))
+    pairs = s.select("field", F.explode(F.flatten(F.transform("s", later))).alias("p"))
+    counts: list[dict[tuple[int, int], int]] = [{} for _ in STATES]
+    for r in pairs.groupBy("field", "p.a", "p.b").agg(F.count("*").alias("n")).collect():
+        counts[r["field"]][r["a"], r["b"]] = r["n"]
+    return [precedence(c) for c in counts]
+
+
+def precedence(counts: dict[tuple[int, int], int]) -> set[tuple[int, int]]:
+    """Transitive closure of the majority edges, heaviest first, without those that would close a cycle."""
+    before: set[tuple[int, int]] = set()
+    edges = []
+    for a, b in combinations(sorted({v for ab in counts for v in ab}), 2):
         ab, ba = counts.get((a, b), 0), counts.get((b, a), 0)
         if ab != ba:
             edges.append((abs(ab - ba), *((a, b) if ab > ba else (b, a))))
-    after: dict[int, set[int]] = {v: set() for v in values}
-
-    def reaches(x: int, y: int) -> bool:
-        return x == y or any(reaches(z, y) for z in after[x])
-
     for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
-        if not reaches(b, a):
-            after[a].add(b)
-    depth = {v: 0 for v in values}
-    for _ in values:
-        for a in after:
-            for b in after[a]:
-                depth[b] = max(depth[b], depth[a] + 1)
-    return depth
-
-
-def _rank(c: Column, ranks: dict[int, int]) -> Column:
-    out = F.lit(-1)
-    for v, r in sorted(ranks.items()):
-        out = F.when(c == v, r).otherwise(out)
-    return out
-
-
-def _placed(sure: Column, ranks: dict[int, int]) -> Column:
-    """Time of an undated record of the given surety: the latest of its group (columns t0, t1, ...) among the values that precede or equal its own."""
-    levels = range(len(SURETY) + 1)
-    at = F.lit(None).cast("timestamp")
-    for k in levels:
-        not_later = [v for v in levels if v == k or ranks.get(v, -1) < ranks.get(k, -1)]
-        at = F.when(sure == k, F.greatest(F.lit(None).cast("timestamp"), *[F.col(f"t{v}") for v in not_later])).otherwise(at)
-    return at
+        if (b, a) not in before:
+            up, down = {a, *(x for x, y in before if y == a)}, {b, *(y for x, y in before if x == b)}
+            before |= {(x, y) for x in up for y in down}
+    return before
+
+
+def placed(scored: DataFrame, order: Order) -> DataFrame:
+    """Adds the time of every field (t0, t1, ...) and of the record (`at`): its own where it has one, else as the partial order of its group has it."""
+    fields = range(len(STATES))
+    dated = scored.where(F.col("ts").isNotNull())
+    known = dated.select("*", *[F.col("ts").alias(f"t{k}") for k in fields], F.col("ts").alias("at"))
+    undated = scored.where(F.col("ts").isNull())
+    if undated.isEmpty():
+        return known
+    groups = undated.select("root", "form").distinct()
+    last = [F.max(F.when(_state(k) == str(v), F.col("ts"))).alias(f"l{k}_{v}") for k in fields for v in range(STATES[k])]
+    seen = dated.select("root", "form", "ts", "vec").join(groups, ["root", "form"], "left_semi").groupBy("root", "form").agg(*last)
+    seen = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # many undated records of one group meet it in as many places
+    there = undated.withColumn("salt", F.pmod(F.xxhash64("vec", "n_filled", *([c for c in ("id", "lo") if c in scored.columns])), F.lit(SALTS)).cast("int")).join(seen, ["root", "form", "salt"], "left")
+    none = F.lit(None).cast("timestamp")
+
+    def latest(k: int) -> Column:
+        t = none
+        for v in range(STATES[k]):
+            t = F.when(_state(k) == str(v), F.greatest(none, none, *[F.col(f"l{k}_{w}") for w in range(STATES[k]) if w == v or (w, v) in order[k]])).otherwise(t)
+        return t
+
+    there = there.withColumns({f"t{k}": latest(k).cast(scored.schema["ts"].dataType) for k in fields})
+    every = F.when(sum((F.col(f"t{k}").isNull().cast("int") for k in fields), F.lit(0)) == 0, F.least(*[f"t{k}" for k in fields]))
+    return known.unionByName(there.withColumn("at", every).select(*known.columns))
 
 
 def best_records(records: DataFrame) -> DataFrame:
     """(first_id, best_id): groups in which one record is at least as full, as late and as sure as every other one and better than each in something.
 
-    One shuffle on (group, state), one on the group. An undated state takes the latest time in its group among the
-    values that precede or equal its own in the learned order; there are at most 11 x 4 undated states, so their
-    set stays small however many rows the group has.
+    One shuffle on (group, state), written once; the order is learned from it, undated states are placed by it, and it is merged per group.
     """
-    scored = states(records).select("root", canonical().alias("form"), "id", "n_filled", "ts", "sure")
-    ranks = learn_precedence(scored)
-    combos = scored.groupBy("root", "form", "n_filled", "ts", "sure").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    has_time, levels = F.col("ts").isNotNull(), range(len(SURETY) + 1)
-    state = F.struct("n_filled", F.col("ts").alias("at"), "sure", "n", "lo", "hi")
-    g = combos.groupBy("root", "form").agg(
-        F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.max("n_filled").alias("f"), F.max("ts").alias("t"), F.max("sure").alias("s"),
-        F.max(F.when(has_time, state)).alias("top"),
-        F.collect_set(F.when(~has_time, F.struct("n_filled", "sure", "n", "lo", "hi"))).alias("undated"),
-        *[F.max(F.when(has_time & (F.col("sure") == k), F.col("ts"))).alias(f"t{k}") for k in levels],
-    ).where("last_id > first_id")
-
-    def placed(x: Column) -> Column:
-        return F.struct(x["n_filled"].alias("n_filled"), _placed(x["sure"], ranks).alias("at"), x["sure"].alias("sure"), x["n"].alias("n"), x["lo"].alias("lo"), x["hi"].alias("hi"))
-
-    all_states = F.concat(F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<struct<n_filled:int,at:timestamp,sure:int,n:bigint,lo:bigint,hi:bigint>>")), F.transform("undated", placed))
-    tops = F.filter(all_states, lambda x: (x["n_filled"] == F.col("f")) & x["at"].eqNullSafe(F.col("t")) & (x["sure"] == F.col("s")))
-    best = g.select("first_id", tops.alias("b")).where(F.size("b") == 1).select("first_id", F.get("b", F.lit(0)).alias("b"))
-    return best.where("b.lo = b.hi and b.n = 1").select("first_id", F.col("b.lo").alias("best_id"))
+    combos = materialize(states(records).groupBy("root", "form", "ts", "n_filled", "sure", "vec").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    p = placed(combos, learn_precedence(combos)).select("root", "form", "at", "n_filled", "sure", "lo", "hi")
+    # per group the greatest of each score, and the greatest state by all of them; a second record in that state would tie
+    p = p.groupBy("root", "form", "n_filled", "at", "sure").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    top = F.struct(F.col("n_filled"), F.col("at").isNotNull().alias("timed"), "at", "sure", "lo", "hi")
+    g = p.groupBy("root", "form").agg(F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.max("at").alias("t"), F.max("sure").alias("s"), F.max(top).alias("top"))
+    best = g.where("last_id > first_id and top.at <=> t and top.sure = s and top.lo = top.hi")
+    return best.select("first_id", F.col("top.lo").alias("best_id"))
 
 
 def survivors(records: DataFrame) -> DataFrame:
-    """(first_id, copies, confidence, qwen, mistral, one column per evidence entry): each group's record built field by field.
+    """(first_id, copies, confidence, qwen, mistral, one column per evidence entry): each group's record built field by field."""
+    full = states(records, values=True)
+    names = ["confidence", *MODELS, *(f"evidence_{f}" for f in EVIDENCE)]
+    p = placed(full, learn_precedence(full.select("root", "form", "ts", "vec")))
 
-    The place of an undated record depends on its surety alone, so each (group, surety, dated or not) keeps its best
-    value of every field, at most eight rows a group; these are then placed and compared.
-    """
-    full = states(records)
-    ranks = learn_precedence(full.select("root", canonical().alias("form"), "ts", "sure"))
-    values = {f"e{k}": n for k, n in enumerate([*(f"evidence_{f}" for f in EVIDENCE), *MODELS])} | {"e_conf": "confidence"}
-    s = full.select("root", canonical().alias("form"), "id", "n_filled", "ts", "sure", *values)
-    kept = [F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "n_filled", (-F.col("id")).alias("k"), F.col(c).alias("v")))).alias(c) for c in values]
-    best = s.groupBy("root", "form", "sure", F.col("ts").isNotNull().alias("dated")).agg(F.min("id").alias("lo"), F.count("*").alias("n"), F.max("ts").alias("t"), *kept)
-    group = Window.partitionBy("root", "form")
-    best = best.select("*", *[F.max(F.when(F.col("sure") == k, F.col("t"))).over(group).alias(f"t{k}") for k in range(len(SURETY) + 1)])
-    best = best.withColumn("at", _placed(F.col("sure"), ranks)).withColumn("rank", _rank(F.col("sure"), ranks))
-
-    def pick(c: str) -> Column:
-        x = F.col(c)
-        key = [F.coalesce(x["ts"], F.col("at")).alias("at"), F.col("rank"), F.col("sure"), x["n_filled"].alias("n_filled"), x["k"].alias("k")]
-        surest = [F.col("sure").alias("first")] if c == "e_conf" else []
-        return F.max(F.when(x.isNotNull(), F.struct(*surest, *key, x["v"].alias("v"))))["v"].alias(values[c])
-
-    return best.groupBy("root", "form").agg(F.min("lo").alias("first_id"), F.sum("n").alias("copies"), pick("e_conf"), *[pick(c) for c in values if c != "e_conf"]).drop("root", "form")
+    def pick(k: int) -> Column:
+        key = [F.col(f"t{k}").alias("at"), F.col("sure"), F.col("n_filled"), (-F.col("id")).alias("k")]
+        surest = [F.col("sure").alias("first")] if k == 0 else []
+        return F.max(F.when(F.col(f"e{k}").isNotNull(), F.struct(*surest, *key, F.col(f"e{k}").alias("v"))))["v"].alias(names[k])
+
+    return p.groupBy("root", "form").agg(F.min("id").alias("first_id"), F.count_distinct("id").alias("copies"), *[pick(k) for k in range(len(STATES))]).drop("root", "form")

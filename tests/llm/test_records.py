@@ -75,9 +75,31 @@ def test_undated_records_are_placed_by_the_learned_order(spark):
     assert got[1] == 2 and got[100] == 101
 
 
-def test_precedence_breaks_cycles_at_the_weakest_link():
-    assert survivor.topological({1, 2, 3}, {(1, 2): 5, (2, 3): 4, (3, 1): 1}) == {1: 0, 2: 1, 3: 2}
-    assert survivor.topological(set(), {}) == {}
+def test_precedence_is_a_partial_order_without_cycles():
+    assert survivor.precedence({(1, 2): 5, (2, 3): 4, (3, 1): 1}) == {(1, 2), (2, 3), (1, 3)}
+    assert survivor.precedence({}) == set() and survivor.precedence({(1, 2): 3, (2, 1): 3}) == set()
+    assert survivor.precedence({(0, 1): 2, (0, 2): 2, (3, 4): 1}) == {(0, 1), (0, 2), (3, 4)}  # 1 and 2 stay unordered
+
+
+def test_repeated_rows_of_one_id_are_one_record(spark):
+    up = lambda i, d: rec(i, run_ts=d, critical_condition_confidence="explicit", field_evidence=EV)
+    data = [up(1, T), up(2, T + timedelta(days=1)), up(2, T + timedelta(days=1))]
+    assert rows(survivor.best_records(records(spark, data))) == [(1, 2)]
+    assert rows(recordhash.conditions(records(spark, data))) == [(1, 2)]
+    assert survivor.survivors(records(spark, data)).first()["copies"] == 2
+
+
+def test_undated_records_by_evidence_and_models(spark):
+    """missed comes before filled in the evidence everywhere; nothing is known of the models' confidences."""
+    ev = lambda v: (v, *[None] * 7)
+    data = []
+    for g in range(3):
+        data += [rec(100 + 2 * g, paper_id=f"L{g}", run_ts=T, field_evidence=ev("missed")), rec(101 + 2 * g, paper_id=f"L{g}", run_ts=T + timedelta(days=1), field_evidence=ev("said"))]
+    data += [rec(1, run_ts=T, field_evidence=ev("missed")), rec(2, run_ts=None, field_evidence=ev("said"))]  # filled after missed: not earlier than 1
+    data += [rec(3, paper_id="Q", run_ts=T, field_evidence=ev("said")), rec(4, paper_id="Q", run_ts=None, field_evidence=ev("said"), model_confidences=("explicit", None))]  # nothing places the model's word
+    data += [rec(k, paper_id="N", run_ts=None, field_evidence=ev(v)) for k, v in ((5, None), (6, "said"))]  # no dated record: equally late
+    got = dict(rows(survivor.best_records(with_clashes(records(spark, data)))))
+    assert got[1] == 2 and 3 not in got and got[5] == 6 and got[100] == 101
 
 
 def test_survivor_is_built_field_by_field(spark):
