@@ -84,6 +84,18 @@ def test_terms(value, want):
     assert t.match(value)[0] == want
 
 
+def test_entries_of_many_words_are_met_whole():
+    t = canonical.Terms([(1, "alpha beta gamma delta epsilon zeta eta theta", None), (2, "alpha beta", None)])
+    assert t.match("sample of alpha beta gamma delta epsilno zeta eta theta, 5 k")[0] == 1 and t.match("alpha beta, other words that follow on and on")[0] == 2
+
+
+def test_a_long_list_is_mapped_in_blocks(spark):
+    terms = spark.createDataFrame(TERMS, "term_id bigint, field string, entry_name string, alias string")
+    data = [{"record_id": k, "analyte_polymer": v, "architecture": "satr", "mobile_phase_solvents": ["water", None, "watre", "N/A"]} for k, v in enumerate(["PS 2010", "polyethylene glycl", "polystyrene", None, "sample D52", "PE = polyethylene"])]
+    f = lambda limit: rows(canonical.map_to_terms(with_clashes(records(spark, data)), terms, ("analyte_polymer", "architecture"), ("mobile_phase_solvents",), limit=limit))
+    assert f(2) == f(100) and len(f(2)) == 4 + 6 + 6
+
+
 def test_prefix_filter_loses_nothing():
     """Against all pairs, on random words."""
     rng = random.Random(5)
