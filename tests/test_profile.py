@@ -28,5 +28,12 @@ def test_profile_counts_and_power_sums(spark):
     data = [{"load_id": 1, "detector": "ab"}, {"load_id": 1, "detector": "abcd"}, {"load_id": 1, "detector": "N/A"}, {"load_id": 2, "detector": "abc"}]
     got = {(r["field"], r["load"]): r for r in P.profile(records(spark, data), "load_id", ["detector", "detector"], {"detector": "^a"}).collect()}
     r = got["detector", 1]
-    assert (r["n_rows"], r["n_missing"], r["n_distinct"], r["n_violations"], int(r["s1"]), int(r["s2"])) == (3, 1, 2, 0, 6, 20)
+    assert (r["n_rows"], r["n_missing"], r["n_distinct"], r["n_violations"], int(r["length_s1"]), int(r["length_s2"])) == (3, 1, 2, 0, 6, 20)
     assert r["min_value"] == "ab" and r["max_length"] == 4 and r["length_shift"] == 0.0 and len(got) == 2
+    assert (int(r["missing_s0"]), int(r["missing_s1"]), int(r["missing_s2"])) == (3, 1, 1) and abs(r["missing_difference"] - 1 / 3) < 1e-9
+    assert r["distance"] == 1.0 and r["lead"] == 0.5
+
+
+def test_a_load_without_id_is_a_load(spark):
+    data = [{"load_id": None, "detector": "a"}] * 4 + [{"load_id": 1, "detector": "b"}] * 4
+    assert (None, "detector", "shift") in found(records(spark, data))
