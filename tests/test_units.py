@@ -22,6 +22,16 @@ from tests.data import records, rows, with_clashes
         ("flow_rate", "8.3 µL/s", None, "498"),
         ("flow_rate", "30", "Table lists 30 ml per hour [p. 3]", "500"),
         ("flow_rate", "1 cm3/h", None, "17"),
+        ("flow_rate", "1,000 µL/min", None, "1000"),
+        ("temperature_celsius", "298,15 K", None, "2500"),
+        ("pore_size", "1e2 nm", None, "1000"),
+        ("pore_size", "1 x 10^2 nm", None, "1000"),
+        ("pore_size", "30 (nm)", None, "300"),
+        ("flow_rate", "30 mL/h (isocratic)", None, "500"),
+        ("flow_rate", "30 " + " ".join(["millilitres", "per", "hour"]), None, "500"),
+        ("flow_rate", "30 " + " " * 100 + "mL · h^{-1}", None, "500"),
+        ("pore_size", "12", "as stated, 12 " + " " * 90 + "nanometres wide; p. 12", "120"),
+        ("flow_rate", "0.5", "a flow of 0.5 ml s-1 was kept for every one of the runs", "30000"),
     ],
 )
 def test_other_units(field, text, evidence, want):
@@ -29,12 +39,12 @@ def test_other_units(field, text, evidence, want):
     assert (value, differs) == (want, True)
 
 
-@pytest.mark.parametrize(("field", "text"), [("pore_size", "100-Å"), ("pore_size", "100 angstrom"), ("temperature_celsius", "25 ℃"), ("temperature_celsius", "25 deg C"), ("flow_rate", "0.5 mL·min-1"), ("flow_rate", "0.5 mL min[-][1]"), ("flow_rate", "1 milliliters per minute")])
+@pytest.mark.parametrize(("field", "text"), [("pore_size", "100-Å"), ("pore_size", "100 angstrom"), ("temperature_celsius", "25 ℃"), ("temperature_celsius", "25 deg C"), ("flow_rate", "0.5 mL·min-1"), ("flow_rate", "0.5 mL min[-][1]"), ("flow_rate", "0,5 mL/min"), ("flow_rate", "1,000 mL/min"), ("flow_rate", "1 mL/min (isocratic)"), ("flow_rate", "1 milliliters per minute")])
 def test_standard_units_in_any_spelling(field, text):
     assert convert(field, text, None)[2] is False
 
 
-@pytest.mark.parametrize(("field", "text", "evidence"), [("pore_size", "6-8 nm", None), ("pore_size", "100 and 300 A", None), ("pore_size", "wide pore", None), ("temperature_celsius", "between 293 and 303 K", None), ("flow_rate", "0.2 to 1.0 mL/min", None), ("flow_rate", "12", "Table lists 12 [p. 3]"), ("flow_rate", "12", "the value 13 mL/h was kept (p. 12)"), ("pore_size", "8", "the value 8 was kept throughout (p. 24)")])
+@pytest.mark.parametrize(("field", "text", "evidence"), [("pore_size", "6-8 nm", None), ("pore_size", "100 and 300 A", None), ("pore_size", "wide pore", None), ("pore_size", "100,300 nm", None), ("pore_size", "m" * 100_000, None), ("flow_rate", "5 " + "m/s " * 20_000, None), ("flow_rate", "5 mL/min (9 mL/min)", None), ("temperature_celsius", "between 293 and 303 K", None), ("flow_rate", "0.2 to 1.0 mL/min", None), ("flow_rate", "12", "Table lists 12 [p. 3]"), ("flow_rate", "12", "the value 13 mL/h was kept (p. 12)"), ("pore_size", "8", "the value 8 was kept throughout (p. 24)")])
 def test_no_single_quantity(field, text, evidence):
     assert convert(field, text, evidence) is None
 
@@ -45,7 +55,7 @@ def test_ambiguous_letters_follow_the_field():
     assert segment_unit("min", "length") is None
 
 
-@pytest.mark.parametrize(("text", "want"), [("vol. % ACN", "v/v"), ("wt-% methanol", "w/w"), ("mole fraction", "mol/mol"), ("percent", None), ("%", None), ("v/v (THF/water)", "v/v"), ("85/15", None), ("44 vol.% H2O", "v/v"), ("g/g", "w/w")])
+@pytest.mark.parametrize(("text", "want"), [("vol. % ACN", "v/v"), ("wt-% methanol", "w/w"), ("mole fraction", "mol/mol"), ("percent", None), ("%", None), ("v/v (THF/water)", "v/v"), ("85/15", None), ("44 vol.% H2O", "v/v"), ("g/g", "w/w"), ("mL water / mL THF", "v/v"), ("mmol", "mol/mol"), ("mg per mL", None), ("vol (ml) of 3 g", "v/v"), ("pg", None)])
 def test_basis(text, want):
     assert ratio_basis(text) == want
 
