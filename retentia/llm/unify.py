@@ -18,10 +18,10 @@ belongs to the consistent form; empty and very long texts, ties and repeated row
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +43,8 @@ _BREAKS = "\t\n\x0b\x0c\r"
 # Default-ignorable characters that are not format characters, and format characters that show.
 _IGNORABLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x2065, 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xFFF0, 0xFFF9), *range(0xE0000, 0xE1000)}
 _SHOWN = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B)}
+# All assigned characters but ideographs, syllables and private ones, which the standard keeps stable.
+_LOOKED_AT = (range(0x3400), range(0xA000, 0xAC00), range(0xD7A4, 0xD800), range(0xF900, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000))
 _FOLDED = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<square>", "<vertical>")
 
 
@@ -52,7 +54,7 @@ class Tables:
     def __init__(self) -> None:
         self.fold: dict[str, tuple[str, str]] = {"‐": ("compatibility", "-"), "‑": ("compatibility", "-"), "\x85": ("separator", "\n"), " ": ("separator", "\n"), " ": ("separator", "\n")}
         self.joining: set[str] = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of conjoining syllables
-        for code in range(sys.maxunicode + 1):
+        for code in chain(*_LOOKED_AT):
             c = chr(code)
             category = unicodedata.category(c)
             if category in ("Cn", "Cs", "Co") and code not in _IGNORABLE:
@@ -92,11 +94,11 @@ def ranges(chars: Iterable[str], code: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[Tables, re.Pattern, re.Pattern]:
-    """The tables, the pattern of a segment, and that of any character that can make a text unstable."""
+def tables() -> tuple[Tables, frozenset[str], frozenset[str]]:
+    """The tables, the characters of a segment, and all that can make a text unstable."""
     t = Tables()
-    unstable = "".join(r"\U%08x" % ord(c) for c in sorted({*t.fold, *t.joining}))
-    return t, re.compile(f"(?s:.)?[{unstable}]+"), re.compile(f"[{unstable}{''.join(LOOKALIKES)}]")
+    unstable = frozenset({*t.fold, *t.joining})
+    return t, unstable, unstable | set(LOOKALIKES)
 
 
 def quick_check(c: Column) -> Column:
@@ -122,18 +124,26 @@ def _spliced(text: str, swaps: list[tuple[int, int, str]], origin: list[int]) ->
 
 def _segments(text: str, origin: list[int], places: dict[int, str]) -> tuple[str, list[int]]:
     """Every segment in its normal form."""
-    t, segment, _ = tables()
+    t, unstable, _ = tables()
     swaps = []
-    for m in segment.finditer(text):
-        folded = "".join(t.fold[c][1] if c in t.fold else c for c in m[0])
+    runs: list[list[int]] = []
+    for i, c in enumerate(text):
+        if c in unstable:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([max(0, i - 1), i + 1])  # with the stable character before it
+    for a, b in runs:
+        old = text[a:b]
+        folded = "".join(t.fold[c][1] if c in t.fold else c for c in old)
         whole = unicodedata.normalize("NFC", folded)
-        if whole != m[0]:
-            for k, c in enumerate(m[0], m.start()):
+        if whole != old:
+            for k, c in enumerate(old, a):
                 if c in t.fold:
                     places.setdefault(origin[k], t.fold[c][0])
                 elif c in t.joining and whole != folded:
                     places.setdefault(origin[k], "mark")
-            swaps.append((m.start(), m.end(), whole))
+            swaps.append((a, b, whole))
     return _spliced(text, swaps, origin)
 
 
@@ -159,7 +169,7 @@ def _letters(text: str, origin: list[int], places: dict[int, str]) -> tuple[str,
 @lru_cache(maxsize=65536)
 def unify(text: str) -> tuple[str, tuple[tuple[int, str], ...]]:
     """(consistent form, places (index, kind) that departed from it)."""
-    if text.isascii() and text.isprintable() or not tables()[2].search(text):
+    if tables()[2].isdisjoint(text):
         return text, ()
     places: dict[int, str] = {}
     done, origin = text, list(range(len(text)))
