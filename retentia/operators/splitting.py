@@ -14,8 +14,9 @@ to be found between strong delimiters elsewhere. A value is not protected where
 (`80, 100`, or two full names): there, and for values found nowhere else, the grammar alone decides, by postcodes and the forms of names.
 
 Defined results: missing fields and fields with a single value give no row; empty pieces do not count; repeated rows
-are split alike; very long texts are cut by the same rules (the cover is linear in the number of delimiters, a value spans at
-most `SPAN` of them); an empty table gives an empty result.
+are split alike; very long texts are cut by the same rules, a value may hold any number of delimiters: pieces are looked up as far as
+the longest value of the dictionary that is one value reaches, what is longer is an unknown value or an address, and of these the
+cheapest one that ends at a place is found from the costs alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from retentia.common import materialize, missing_text, present, strip
 
 FIELDS = ("corresponding_author_name", "corresponding_email_address", "physical_address", "pore_size")
-SPAN, SALTS, WELL_FORMED = 12, 32, 1.2
+SALTS, WELL_FORMED, PER_DELIMITER = 32, 1.2, 1.4
 # What may stand between two values.
 DELIMITER = re.compile(r"\s*(?:\|\||[;|\n\r]|,|\s/\s|/|\s&\s|&|\s\+\s|\+|\s(?:and|or|und|oder)\s)(?:\s*(?:\|\||[;|\n\r,]|(?:and|or|und)\s))*\s*|\s+")
 STRONG = re.compile(r"\|\||[;|\n\r]")
@@ -91,7 +92,7 @@ def _grammar(field: str, s: str) -> float | None:
             return 1.2 if len(words[0].split()) == 1 or len(words[1].split()) == 1 else 2.6
         if _FULL.match(s) and not re.search(r"\s(?:and|or|und)\s", s):
             return 1.0
-        return 4.0 if re.match(rf"{_NAME_WORD}$", s) else 7.0
+        return 4.2 if re.match(rf"{_NAME_WORD}$", s) else 7.0
     # address: parts by comma, ends in a country after a part with a postcode
     if STRONG.search(s):
         return 20.0
@@ -139,18 +140,28 @@ def _cuts(field: str, s: str) -> list[tuple[int, int]]:
     return cuts
 
 
-def _spans(s: str, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(i, j, piece): what stands between cut i and cut j, by j; no piece runs over a strong delimiter."""
+def _spans(s: str, cuts: list[tuple[int, int]], reach: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """(i, j, piece): what stands between cut i and cut j, by j; no piece runs over a strong delimiter, nor over more than `reach` others unless it stands between strong ones."""
     begins, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(s)]
-    strong = [bool(STRONG.search(s[a:b])) for a, b in cuts]
-    for j in range(1, len(begins) + 1):
-        for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
-            if i < j - 1 and strong[i]:
-                break
-            yield i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
+    n = len(begins)
+    strong = [0, *(k for k, (a, b) in enumerate(cuts, 1) if STRONG.search(s[a:b])), n]
+    for first, last in zip(strong, strong[1:]):
+        for j in range(first + 1, last + 1):
+            near = first if reach is None else max(first, j - 1 - reach)
+            for i in (*range(j - 1, near - 1, -1), *([first] if j == last and near > first else [])):
+                yield i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
+
+
+def inner(field: str, text: str) -> int:
+    """The most delimiters inside what may be one value in a text of its own, or in a piece of it between strong delimiters."""
+    s = text.strip()
+    if missing_text(s):
+        return 0
+    pieces = _quoted_values(s) or [p for p in STRONG.split(s) if p.strip()]
+    return max((len(_cuts(field, p.strip())) for p in pieces if len(split_values(field, p)) < 2), default=0)
 
 
-def candidates(field: str, text: str) -> set[tuple[str, str]]:
+def candidates(field: str, text: str, reach: int | None = None) -> set[tuple[str, str]]:
     """(kind, piece): what may be a value in a text (`part`, or `whole` if nothing else is in it), and what is `delimited`: in quotes or between strong delimiters."""
     s = text.strip()
     if missing_text(s):
@@ -160,17 +171,23 @@ def candidates(field: str, text: str) -> set[tuple[str, str]]:
     cuts = _cuts(field, s)
     n = len(cuts) + 1
     strong = [0, *(k for k, (a, b) in enumerate(cuts, 1) if STRONG.search(s[a:b])), n]
-    spans = list(_spans(s, cuts))
+    spans = list(_spans(s, cuts, reach))
     full = [i for i, j, piece in spans if piece and j - i == 1]
-    out = {("whole" if i <= full[0] and j > full[-1] else "part", piece) for i, j, piece in spans if piece} if n > 1 else set()
+    out = {("whole" if full and i <= full[0] and j > full[-1] else "part", piece) for i, j, piece in spans if piece} if n > 1 else set()
     if len(strong) > 2:
         ends = set(zip(strong, strong[1:]))
         out |= {("delimited", piece) for i, j, piece in spans if (i, j) in ends and _WEAK.search(piece)}
     return out
 
 
-def split_values(field: str, text: str, known: frozenset[str] = frozenset()) -> list[str]:
-    """The values in `text`, in order."""
+def _cost(field: str, piece: str, delimiters: int) -> float:
+    """Grammar's cost of a piece; an unknown one costs more with every delimiter it swallows, but for the commas of an address."""
+    c = _grammar(field, piece)
+    return c if c <= 4.2 or field == "physical_address" else c + PER_DELIMITER * delimiters
+
+
+def split_values(field: str, text: str, known: frozenset[str] = frozenset(), reach: int = 16) -> list[str]:
+    """The values in `text`, in order; `reach`: the most delimiters inside a known value."""
     s = text.strip()
     if missing_text(s):
         return []
@@ -179,12 +196,16 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset()) ->
     cuts = _cuts(field, s)
     if not cuts:
         return [s.strip('"“” ')]
+    begins, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(s)]
     gap = [0.0, *(_delimiter_cost(s[a:b], field) for a, b in cuts)]
-    n = len(gap)
+    n, reach = len(gap), max(reach, 2)  # the grammar of names, mails and sizes takes at most one delimiter in a value
     best = [0.0] + [1e18] * n
     came: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    spans = list(_spans(s, cuts))
-    at = {(i, j): piece for i, j, piece in spans}
+    at = {(i, j): piece for i, j, piece in _spans(s, cuts, reach)}
+    starts = [0, *(k for k, (a, b) in enumerate(cuts, 1) if STRONG.search(s[a:b]))]
+    # what an unknown piece pays per delimiter, and where the last two postcodes before a place begin
+    pays = [0.0 if field == "physical_address" else -PER_DELIMITER * k - (20.0 * s.count("@", 0, b) if field == "corresponding_email_address" else 0.0) for k, b in enumerate(begins)]
+    codes = [k for k, (a, b) in enumerate(zip(begins, ends)) for part in s[a:b].split(",") if re.match(r"\s*\d{4,6}\s+\S", part) or re.search(r"\b\d{5}\b", part)] if field == "physical_address" else []
 
     @lru_cache(maxsize=None)
     def value(i: int, j: int) -> bool:
@@ -192,12 +213,34 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset()) ->
 
     @lru_cache(maxsize=None)
     def parted(i: int, j: int) -> bool:  # into pieces that are values themselves
-        return any(value(k, j) and (value(i, k) or parted(i, k)) for k in range(i + 1, j))
+        return any(value(k, j) and (value(i, k) or parted(i, k)) for k in range(i + 1, j) if (i, k) in at and (k, j) in at)
 
-    for i, j, piece in spans:
-        cost = 0.0 if not piece else 0.5 if piece in known and not parted(i, j) else _grammar(field, piece)
+    def take(i: int, j: int, piece: str) -> None:
+        cost = 0.0 if not piece else 0.5 if piece in known and not parted(i, j) else _cost(field, piece, j - i - 1)
         if (c := best[i] + cost + gap[i]) < best[j]:
             best[j], came[j] = c, (i, piece)
+
+    by_end: dict[int, list[int]] = {}
+    for i, j in at:
+        by_end.setdefault(j, []).append(i)
+    paid: list[float] = []  # cost of all before a place, and of what follows as far as it grows with the length
+    first = 0
+    for j in range(1, n + 1):
+        paid.append(best[j - 1] + gap[j - 1] + pays[j - 1])
+        if j - 1 in starts:
+            first = j - 1
+        for i in by_end[j]:
+            take(i, j, at[i, j])
+        far = j - 1 - reach
+        ranges = [(first, far)]
+        if field == "physical_address":  # with one postcode inside, or with none; with two it is never one value
+            behind = [k for k in codes[-2:] if k < j] if not codes or codes[-1] < j else [k for k in codes if k < j][-2:]
+            one, two = (behind[-1] + 1 if behind else first), (behind[-2] + 1 if len(behind) > 1 else first)
+            ranges = [(max(first, one), far), (max(first, two), min(far, one))]
+        for lo, hi in ranges:
+            if lo < hi:
+                i = paid.index(min(paid[lo:hi]), lo, hi)
+                take(i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip())
     out, j = [], n
     while j:
         j, piece = came[j]
@@ -206,15 +249,22 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset()) ->
     return out[::-1]
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(f, k, *x) for f, k, t in zip(b["field"], b["key"], b["text"]) for x in candidates(f, t)], columns=["field", "key", "kind", "piece"])
+        yield pd.DataFrame([(f, inner(f, t)) for f, t in zip(b["field"], b["text"])], columns=["field", "n"]).groupby("field", as_index=False)["n"].max().astype({"n": "int32"})
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [(f, k, split_values(f, t, frozenset(() if w is None else w))) for f, k, t, w in zip(b["field"], b["key"], b["text"], b["known"])]
-        yield pd.DataFrame([x for x in out if len(x[2]) > 1], columns=["field", "key", "items"])
+def _with(reach: dict[str, int]) -> tuple:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(f, k, *x) for f, k, t in zip(b["field"], b["key"], b["text"]) for x in candidates(f, t, reach[f])], columns=["field", "key", "kind", "piece"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(f, k, split_values(f, t, frozenset(() if w is None else w), reach[f])) for f, k, t, w in zip(b["field"], b["key"], b["text"], b["known"])]
+            yield pd.DataFrame([x for x in out if len(x[2]) > 1], columns=["field", "key", "items"])
+
+    return pieces, split
 
 
 def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -225,9 +275,11 @@ def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[st
     packed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(may_be_packed(f), present(F.col(f))).alias("text")) for f in fields]))
     rows = records.select(F.col(id_col).cast("bigint").alias("row_id"), packed.alias("x")).select("row_id", "x.field", "x.text").where(F.col("text").isNotNull())
     rows = materialize(rows.withColumn("key", F.unhex(F.md5("text"))))
-    texts = rows.select("field", "key", "text").distinct()
+    texts = materialize(rows.select("field", "key", "text").dropDuplicates(["field", "key"]))
+    longest = texts.mapInPandas(_inner, "field string, n int").groupBy("field").agg(F.max("n").alias("n")).collect()  # one row a field
+    split_pieces, split_texts = _with({r["field"]: r["n"] for r in longest})
 
-    pieces = texts.mapInPandas(_pieces, "field string, key binary, kind string, piece string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    pieces = texts.mapInPandas(split_pieces, "field string, key binary, kind string, piece string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     pieces = materialize(pieces)
     asked = pieces.where("kind <> 'delimited'")
     values = known_values(records, pieces.where("kind = 'delimited'"), fields)
@@ -235,7 +287,7 @@ def split_packed(records: DataFrame, id_col: str = "record_id", fields: tuple[st
     hits = asked.join(found, ["field", "piece", "salt"]).where(F.when(F.col("kind") == "whole", F.col("whole")).otherwise(F.col("part")))
     known = hits.groupBy("field", "key").agg(F.collect_list("piece").alias("known"))  # at most the pieces of one text
 
-    split = texts.join(known, ["field", "key"], "left").select("field", "key", "text", "known").mapInPandas(_split, "field string, key binary, items array<string>")
+    split = texts.join(known, ["field", "key"], "left").select("field", "key", "text", "known").mapInPandas(split_texts, "field string, key binary, items array<string>")
     salted = rows.select("row_id", "field", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt"))
     items = split.join(salted.select("field", "key", "salt").distinct(), ["field", "key"])
     out = salted.join(items, ["field", "key", "salt"]).select("row_id", "field", F.posexplode("items").alias("pos", "item"))

@@ -30,6 +30,10 @@ ONE, TWO = "Unit 4, Polymer Group, Rue Verte 1, 89612 Ostertal, Caldonia", "Facu
         (Q, "50, 120 and 4000Å", ["50", "120", "4000Å"]),
         (Q, "80/120 A", ["80", "120 A"]),
         (Q, "100;;300", ["100", "300"]),
+        (Q, "50, 80, 100, 120, 300, 500, 1000, 4000 A", ["50", "80", "100", "120", "300", "500", "1000", "4000 A"]),
+        (A, "Orla Linello, Chidi Hartmund, M. Pelquist, A. Baker, C. Dent, E. Fox, and G. Hill", ["Orla Linello", "Chidi Hartmund", "M. Pelquist", "A. Baker", "C. Dent", "E. Fox", "G. Hill"]),
+        (P, "Lab 1, " + "Wing x, " * 20 + "89612 Ostertal, Caldonia", ["Lab 1, " + "Wing x, " * 20 + "89612 Ostertal, Caldonia"]),
+        (P, "Lab 1, " + "Wing x, " * 20 + f"89612 Ostertal, Caldonia, {TWO}", ["Lab 1, " + "Wing x, " * 20 + "89612 Ostertal, Caldonia", TWO]),
     ],
 )
 def test_split(field, text, want):
@@ -40,6 +44,11 @@ def test_known_values_protect_their_delimiters():
     assert split_values(A, "Smith and Sons and Orla Linello", frozenset({"Smith and Sons"})) == ["Smith and Sons", "Orla Linello"]
 
 
+@pytest.mark.parametrize(("field", "text", "n"), [(A, ", ".join(["Orla Linello", "M. Pelquist"] * 1000), 2000), (E, ", ".join(["a@b.test"] * 2000), 2000), (P, ", ".join([ONE] * 500), 500), (P, ", ".join(["no code"] * 2000), 1), (Q, " and ".join(["80", "100-5"] * 1000), 2000), (A, "x" * 100_001 + ", y", 1)])
+def test_very_long_texts(field, text, n):
+    assert len(split_values(field, text)) == n
+
+
 def test_operator(spark):
     data = [{"record_id": 1, A: "Orla Linello; Chidi Hartmund", Q: "80|100"}, {"record_id": 2, A: "Orla Linello"}, {"record_id": 3, A: "; ".join(["Orla Linello"] * 3000)}, {"record_id": 4, A: "null", E: ""}, {}]
     got = rows(split_packed(with_clashes(records(spark, data))).where("row_id < 3"))
