@@ -50,6 +50,11 @@ def first_number(c: Column) -> Column:
     return F.regexp_extract(c, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+def leading_number(c: Column) -> Column:
+    """First number in a text without its sign."""
+    return F.regexp_extract(c, r"(\d+\.?\d*)", 1).try_cast("double")
+
+
 def ratio_number(c: Column) -> Column:
     """First number of a ratio, units and separators blanked out."""
     units = F.regexp_replace(F.lower(c), r"(vol\s*\.?\s*%|wt\s*\.?\s*%|v\s*/\s*v|w\s*/\s*w|%)", " ")
@@ -218,6 +223,11 @@ def clean_text(c: Column) -> Column:
     return F.when(c.isNull() | (F.lower(c) == "null"), "").otherwise(c)
 
 
+def shown(c: Column) -> Column:
+    """A typed value as text, '' for null."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def normalize_text(c: Column) -> Column:
     """Text for scoring: lower case, degree sign blanked, micro sign u, blanks collapsed, only letters, digits and a few signs."""
     t = F.regexp_replace(F.regexp_replace(F.lower(c), "°", " "), "μ", "u")

@@ -9,36 +9,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Where a text is cut, first choice first.
 LEVELS = ("\n## ", "\n### ", "\n\n")
-TOKEN = re.compile(r"\w+|[^\w\s]")
+TOKEN = re.compile(r"\w+|[^\w\s]", re.ASCII)
 
 
 def count_tokens(text: str) -> int:
-    """Words and signs; any exact tokenizer can take its place."""
+    """Words and signs, as the JVM side estimates them; any exact tokenizer can take its place."""
     return len(TOKEN.findall(text))
 
 
-def split_text(text: str, limit: int, count: Callable[[str], int] = count_tokens, level: int = 0, chars_per_token: int = 3) -> list[str]:
-    """Parts of at most `limit` tokens: packed whole sections, then subsections, then paragraphs, at last a cut by characters."""
+def _sections(text: str, start: int, end: int, mark: str) -> Iterator[tuple[int, int]]:
+    """Offsets of the stretches that begin at `start` and at every mark behind it."""
+    look = start
+    while start < end:
+        stop = text.find(mark, look, end)
+        stop = end if stop < 0 else stop
+        if stop > start:
+            yield start, stop
+        start, look = stop, stop + len(mark)
+
+
+def _cuts(text: str, start: int, end: int, limit: int, count: Callable[[str], int], levels: tuple[str, ...], step: int) -> Iterator[tuple[int, int]]:
+    """Offsets of the parts of a stretch that is too long. Every section is counted once; a pack is the sum of its sections."""
+    if not levels:
+        yield from ((a, min(a + step, end)) for a in range(start, end, step))
+        return
+    held = 0
+    for a, b in _sections(text, start, end, levels[0]):
+        n = count(text[a:b])
+        if held + n > limit and start < a:
+            yield start, a
+            start, held = a, 0
+        if n > limit:
+            yield from _cuts(text, a, b, limit, count, levels[1:], step)
+            start = b
+        else:
+            held += n
+    if start < end:
+        yield start, end
+
+
+def split_text(text: str, limit: int, count: Callable[[str], int] = count_tokens, chars_per_token: int = 3) -> list[str]:
+    """Parts of at most `limit` tokens: packed sections, of a longer section its subsections, then paragraphs, at last a cut by characters."""
     if count(text) <= limit:
         return [text]
-    if level == len(LEVELS):
-        step = limit * chars_per_token
-        return [text[i : i + step] for i in range(0, len(text), step)]
-    mark = LEVELS[level]
-    head, *rest = text.split(mark)
-    out: list[str] = []
-    pack = ""
-    for section in (head, *(mark + r for r in rest)):
-        if count(section) > limit:
-            out += [pack] * bool(pack) + split_text(section, limit, count, level + 1, chars_per_token)
-            pack = ""
-        elif count(pack + section) > limit:
-            out.append(pack)
-            pack = section
-        else:
-            pack += section
-    return out + [pack] * bool(pack)
+    return [text[a:b] for a, b in _cuts(text, 0, len(text), limit, count, LEVELS, limit * chars_per_token)]
 
 
 def chunk(documents: DataFrame, limit: int = 25_000, count: Callable[[str], int] = count_tokens, chars_per_token: int = 3) -> DataFrame:
@@ -48,7 +64,7 @@ def chunk(documents: DataFrame, limit: int = 25_000, count: Callable[[str], int]
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
-                parts = split_text(t, limit, count, 0, chars_per_token)
+                parts = split_text(t, limit, count, chars_per_token)
                 rows += [(d, i, "Full Paper" if len(parts) == 1 else f"Part {i + 1}", count(p), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section", "token_count", "text"])
 

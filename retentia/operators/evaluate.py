@@ -9,7 +9,7 @@ from retentia.functions import scalars as S
 from retentia.operators.matching import text_match
 from retentia.operators.resolve import by_row
 
-#: evaluated field -> (column of the annotations, columns of the records); fields without record columns are never found.
+# Evaluated field -> (column of the annotations, columns of the records); fields without record columns are never found.
 SCORED = {
     "polymer_names": ("polymer_names", ("analyte_polymer", "critical_component")),
     "detectors": ("detectors", ()),
@@ -59,5 +59,12 @@ def paper_scores(scores: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """(status, n)."""
-    return scores.groupBy("status").agg(F.count("*").alias("n"))
+    """(status, n, mean_score): fields by status beside the mean score of the papers."""
+    mean = paper_scores(scores).agg(F.round(F.avg("score"), 4).alias("mean_score"))
+    return scores.groupBy("status").agg(F.count("*").alias("n")).join(F.broadcast(mean), F.lit(True))  # one row
+
+
+def by_paper_name(annotations: DataFrame, names: DataFrame) -> DataFrame:
+    """Annotations under the papers' own names: `names` (reference, paper_id) says which paper a reference means; one it does not know is a name itself."""
+    known = names.where("reference is not null").groupBy("reference").agg(F.min("paper_id").alias("_paper"))
+    return annotations.join(known, "reference", "left").withColumn("reference", F.coalesce("_paper", "reference")).drop("_paper")

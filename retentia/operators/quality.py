@@ -9,6 +9,9 @@ from retentia.functions import scalars as S
 
 CRITICAL = ("analyte_polymer", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius")
 TEXTS = ("analyte_polymer", "critical_component", "architecture", "critical_condition_basis", "column_name", "stationary_phase_chemistry", "column_mode", "mobile_phase_ratio", "mobile_phase_ratio_units", "temperature_celsius", "flow_rate", "pore_size", "column_dimensions", "detector", "notes", "paper_doi", "publication_year")
+NESTED = ("aqueous_parameters", "field_evidence", "model_confidences")
+REPEATED = ("analyte_polymer", "critical_component", "column_name", "mobile_phase_ratio", "temperature_celsius")
+# Words that tell of a preparative separation.
 FRACTIONATION = r"fractionat|preparative|semipreparative|semi-preparative"
 
 
@@ -26,10 +29,12 @@ def null_profile(records: DataFrame, columns: tuple[str, ...] = TEXTS) -> DataFr
     return one.unpivot(["n_rows"], list(columns), "field", "n_null").select("field", "n_null", "n_rows")
 
 
-def null_strings(records: DataFrame, columns: tuple[str, ...] = TEXTS) -> DataFrame:
-    """(field, n): values that spell null as a word."""
-    one = records.agg(*[_n(F.lower(F.col(c)) == "null").alias(c) for c in columns])
-    return one.unpivot([], list(columns), "field", "n").where("n > 0")
+def null_strings(records: DataFrame, columns: tuple[str, ...] = TEXTS, nested: tuple[str, ...] = NESTED) -> DataFrame:
+    """(field, n): values that spell null as a word, also one level down."""
+    named = {c: F.col(c) for c in columns} | {f"{c}.{f.name}": F.col(c)[f.name] for c in nested for f in records.schema[c].dataType.fields if f.dataType.simpleString() == "string"}
+    one = records.agg(*[_n(F.lower(v) == "null").alias(f"c{k}") for k, v in enumerate(named.values())])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"c{k}").alias("n")) for k, c in enumerate(named)]))
+    return one.select(pairs.alias("x")).select("x.*").where("n > 0")
 
 
 def null_heavy(records: DataFrame, threshold: int = 3) -> DataFrame:
@@ -96,23 +101,31 @@ def exact_duplicates(records: DataFrame) -> DataFrame:
     return g.groupBy("paper_id").agg(F.sum(F.col("n") - 1).alias("extras")).where("extras > 0")
 
 
+def repeated(records: DataFrame) -> DataFrame:
+    """(subfolder, paper_id, extras): records beyond the first with the same five normalised fields."""
+    g = records.groupBy("subfolder", "paper_id", *[S.norm(F.col(c)).alias(f"s{k}") for k, c in enumerate(REPEATED)]).agg(F.count("*").alias("n"))
+    return g.groupBy("subfolder", "paper_id").agg(F.sum(F.col("n") - 1).alias("extras")).where("extras > 0")
+
+
 def first_of_signature(records: DataFrame) -> DataFrame:
-    """(record_id, first_id): every repeated record with the first of its signature; the group side is aggregated before the join."""
-    rows = records.select("record_id", F.xxhash64("paper_id", signature()).alias("h"), F.pmod("record_id", F.lit(16)).alias("salt"))
-    part = rows.groupBy("h", "salt").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"))
-    g = part.groupBy("h").agg(F.min("lo").alias("first_id"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts")).where("hi > first_id").select("h", "first_id", F.explode("salts").alias("salt"))
-    return rows.join(g, ["h", "salt"]).where("record_id > first_id").select("record_id", "first_id")
+    """(record_id, first_id): every repeated record with the first of its signature; the whole signature is compared, the group side is aggregated before the join."""
+    rows = records.select("record_id", F.struct("paper_id", signature()).alias("sig"), F.pmod("record_id", F.lit(16)).alias("salt"))
+    part = rows.groupBy("sig", "salt").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"))
+    g = part.groupBy("sig").agg(F.min("lo").alias("first_id"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts")).where("hi > first_id").select("sig", "first_id", F.explode("salts").alias("salt"))
+    return rows.join(g, ["sig", "salt"]).where("record_id > first_id").select("record_id", "first_id")
 
 
 def near_duplicates(records: DataFrame) -> DataFrame:
-    """(paper_id, n_records, n_analytes): same paper, column, ratio, temperature and component, but several analytes.
+    """(subfolder, paper_id, column, ratio, temperature, component, n_records, n_analytes, n_pairs): same set-up and component, other analytes.
 
-    The groups are counted, not paired: the pairs of a group are implied by its members.
+    The pairs are counted, not listed: all pairs of the group without those of one analyte.
     """
-    key = [F.col("paper_id"), *[S.norm(F.col(c)).alias(c) for c in ("column_name", "mobile_phase_ratio", "temperature_celsius", "critical_component")]]
-    k = records.select("record_id", *key, S.norm(F.col("analyte_polymer")).alias("analyte")).where("column_name <> '' and mobile_phase_ratio <> '' and temperature_celsius <> ''")
-    g = k.groupBy("paper_id", "column_name", "mobile_phase_ratio", "temperature_celsius", "critical_component").agg(F.count("*").alias("n_records"), F.count_distinct("analyte").alias("n_analytes")).where("n_analytes > 1")
-    return g
+    setup = ("column_name", "mobile_phase_ratio", "temperature_celsius", "critical_component")
+    k = records.select("subfolder", "paper_id", *[S.norm(F.col(c)).alias(c) for c in setup], S.norm(F.col("analyte_polymer")).alias("analyte")).where("column_name <> '' and mobile_phase_ratio <> '' and temperature_celsius <> ''")
+    a = k.groupBy("subfolder", "paper_id", *setup, "analyte").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    g = a.groupBy("subfolder", "paper_id", *setup).agg(total.alias("n_records"), F.count("*").alias("n_analytes"), F.floor((total * total - F.sum(F.col("n") * F.col("n"))) / 2).cast("bigint").alias("n_pairs"))
+    return g.where("n_analytes > 1")
 
 
 def compare_sets(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -147,18 +160,6 @@ def model_coverage(records: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, "paper_id", "left").agg(F.count("*").alias("n_papers"), F.count("there").alias("n_with_second"), F.sum("n").alias("n_records_first"))
 
 
-def position_consistency(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n_papers, consistent): share of papers whose record multisets are equal whichever extractor came first.
-
-    Multisets are compared by counts and order-free sums of record hashes, so no paper's records are gathered.
-    """
-    h = F.xxhash64("analyte_polymer", "critical_component", "column_name", "mobile_phase_ratio", "temperature_celsius")
-    side = lambda d, n: d.groupBy("paper_id").agg(F.count("*").alias(f"n_{n}"), F.sum(h.cast("decimal(38,0)")).alias(f"s_{n}"), F.sum((F.hash(h) * F.lit(1)).cast("decimal(38,0)")).alias(f"t_{n}"))
-    j = side(a, "a").join(side(b, "b"), "paper_id", "full_outer")
-    same = F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("s_a") == F.col("s_b")) & (F.col("t_a") == F.col("t_b")), F.lit(False))
-    return j.agg(F.count("*").alias("n_papers"), F.round(F.avg(same.cast("double")), 6).alias("consistent"))
-
-
 METADATA = ("paper_doi", "corresponding_author_name", "corresponding_email_address", "physical_address", "publication_year")
 
 
@@ -187,7 +188,7 @@ def judgements(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def audit(records: DataFrame) -> DataFrame:
-    """(name, n): how many records, values or groups each check finds."""
+    """(name, n): how many records, values or pairs each check finds."""
     f = flags(records)
     counted = {
         "null_heavy": null_heavy(records),
@@ -196,10 +197,11 @@ def audit(records: DataFrame) -> DataFrame:
         "comma_analyte": f.where("comma_analyte"),
         "simulation": f.where("simulation"),
         "missing_setup": missing_setup(records),
-        "near_duplicates": near_duplicates(records),
-        "repeated": first_of_signature(records),
     }
+    summed = {"near_duplicates": near_duplicates(records).select(F.col("n_pairs").alias("n")), "repeated": repeated(records).select(F.col("extras").alias("n"))}
     out = null_strings(records).agg(F.lit("null_strings").alias("name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    for name, d in summed.items():
+        out = out.unionByName(d.agg(F.lit(name).alias("name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
     for name, d in counted.items():
         out = out.unionByName(d.agg(F.lit(name).alias("name"), F.count("*").alias("n")))
     return out

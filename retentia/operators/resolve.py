@@ -7,6 +7,7 @@ runs, of which the latest two or three meet.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,8 +29,15 @@ def runs(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 
 def latest_runs(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(paper_id, model, items): the last run of every extractor."""
-    return runs(records, fields).groupBy("paper_id", "model").agg(F.max_by("items", "run_ts").alias("items"))
+    """(paper_id, model, items): the last run of every extractor; one without a time counts as its earliest.
+
+    The last times are found on three narrow columns; only the rows of those runs carry their fields into the shuffle.
+    """
+    last = records.groupBy("paper_id", "model").agg(F.max("run_ts").alias("run_ts")).select(*[F.col(c).alias(f"_{c}") for c in ("paper_id", "model", "run_ts")])
+    same = F.lit(True)
+    for c in ("paper_id", "model", "run_ts"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return runs(records.select("paper_id", "model", "run_ts", "cond_idx", "record_id", *fields).join(last, same, "left_semi"), fields).drop("run_ts")
 
 
 def by_row(df: DataFrame, fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
@@ -95,7 +103,7 @@ def programmatic(records: DataFrame, order: tuple[str, ...] = ("consensus", "qwe
     rank = F.lit(len(order))
     for k, m in enumerate(order):
         rank = F.when(F.col("model") == m, k).otherwise(rank)
-    real = records.where(~simulation())
+    real = records.where(~simulation(records))
     latest = latest_runs(real).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "model", "items"))).alias("all"))
 
     def fold(r: dict) -> list[dict]:
@@ -106,10 +114,26 @@ def programmatic(records: DataFrame, order: tuple[str, ...] = ("consensus", "qwe
     return by_row(latest, fold, "paper_id string, pos int, record_id bigint, n_sources int, n_records int")
 
 
-def simulation() -> Column:
-    """Records that come from a simulation by their basis or notes."""
+def simulation(records: DataFrame) -> Column:
+    """Records that come from a simulation by their basis, notes or quoted text."""
     said = lambda c: F.coalesce(F.lower(c).contains("simulation"), F.lit(False))
-    return said(F.col("critical_condition_basis")) | said(F.col("notes"))
+    out = said(F.col("critical_condition_basis")) | said(F.col("notes"))
+    return out | said(F.col("evidence_text")) if "evidence_text" in records.columns else out
+
+
+def position_consistency(records: DataFrame, first: str = "qwen-27b", second: str = "mistral-24b") -> DataFrame:
+    """(n_papers, n_consistent, consistent): papers whose consensus is the same multiset of records whichever extractor is asked first."""
+    latest = latest_runs(records).where(F.col("model").isin(first, second))
+    side = lambda m: F.max_by(F.when(F.col("model") == m, F.col("items")), F.when(F.col("model") == m, 1))
+    both = latest.groupBy("paper_id").agg(side(first).alias("a"), side(second).alias("b"))
+    said = lambda a, b: sorted(json.dumps({k: v for k, v in r.items() if k not in ("cond_idx", "record_id")}, sort_keys=True, default=str) for r, *_ in M.consensus(a, b))
+
+    def fold(r: dict) -> list[dict]:
+        a, b = ([m for _, m in M.fold_merge(x or [])] for x in (r["a"], r["b"]))
+        return [{"same": int(said(a, b) == said(b, a))}]
+
+    got = by_row(both, fold, "same int")
+    return got.agg(F.count("*").alias("n_papers"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_consistent"), F.round(F.coalesce(F.avg("same"), F.lit(0.0)), 6).alias("consistent"))
 
 
 def native_fold(records: DataFrame, tolerance: float = 2.0) -> DataFrame:

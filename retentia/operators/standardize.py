@@ -48,54 +48,57 @@ def standardize(records: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(records: DataFrame) -> DataFrame:
-    """Adds `fp`: paper, phase, column, families of component and analyte, rounded leading numbers of ratio and temperature; no solvents."""
-    c = F.col
-    n = lambda x: F.coalesce(F.bround(S.first_number(x), 0).cast("string"), F.lit(""))
-    return records.withColumn("fp", F.struct(c("paper_id"), S.norm(c("stationary_phase_chemistry")).alias("spc"), S.norm(c("column_name")).alias("col"), S.canonical_polymer(c("critical_component")).alias("cc"), S.canonical_polymer(c("analyte_polymer")).alias("ap"), n(c("mobile_phase_ratio")).alias("r"), n(c("temperature_celsius")).alias("t")))
-
+def fingerprint(row: dict[str, Column]) -> Column:
+    """Key of a summary row: paper, phase, column, families of component and analyte, rounded leading numbers of ratio and temperature; no solvents."""
+    n = lambda x: F.coalesce(F.bround(S.leading_number(row[x]), 0).cast("string"), F.lit(""))
+    texts = {"paper": "Paper", "spc": "Stationary Phase Chemistry", "col": "Column Name"}
+    return F.struct(*[S.norm(row[h]).alias(k) for k, h in texts.items()], *[S.canonical_polymer(S.norm(row[h])).alias(k) for k, h in (("cc", "Critical Component"), ("ap", "Analyte Polymer"))], n("Mobile Phase Ratio").alias("r"), n("Temperature (°C)").alias("t"))
 
-def truthy_count(columns: list[str]) -> Column:
-    """How many of the text columns are not empty."""
-    return sum((F.when(F.coalesce(F.col(k), F.lit("")) != "", 1).otherwise(0) for k in columns), F.lit(0))
 
-
-FILLED = ["paper_doi", "publication_year", "corresponding_author_name", "corresponding_email_address", "physical_address", "analyte_polymer", "critical_component", "architecture", "critical_condition_basis", "column_name", "stationary_phase_chemistry", "column_mode", "pore_size", "column_dimensions", "mobile_phase_ratio", "mobile_phase_ratio_units", "temperature_celsius", "flow_rate", "detector", "critical_condition_confidence", "notes"]
+def filled_cells(row: dict[str, Column]) -> Column:
+    """How many of the 37 cells say something; a salt that was not added does not."""
+    return sum((F.when((v != "") & ((v != "false") if h == "Aqueous Salt Added" else F.lit(True)), 1).otherwise(0) for h, v in row.items()), F.lit(0))
 
 
 def fingerprint_dedup(records: DataFrame, order: str = "record_id") -> DataFrame:
-    """One row per fingerprint: the fullest, ties the earliest; `first_pos` is the place of the first row of the group.
+    """One row per fingerprint of the cleaned summary cells: the fullest, ties the earliest; `first_pos` is the place of the first row of the group.
 
     max/min of small structs instead of a window: merged map-side, so a fingerprint shared by a third of the rows is no task of its own.
     """
-    best = fingerprint(records).withColumn("filled", truthy_count(FILLED))
+    row = summary_cells()
+    best = records.select(order, fingerprint(row).alias("fp"), filled_cells(row).alias("filled"))
     rank = F.struct("filled", (-F.col(order)).alias("neg"))
     return best.groupBy("fp").agg(F.max(rank).alias("b"), F.min(order).alias("first_pos"), F.count("*").alias("n")).select((-F.col("b.neg")).alias(order), F.col("b.filled").alias("filled"), "first_pos", "n")
 
 
-def summary_rows(records: DataFrame) -> DataFrame:
-    """The 37 columns of the summary layout, '' for every missing text."""
-    c, t = F.col, lambda x: S.clean_text(x.cast("string"))
+def summary_cells() -> dict[str, Column]:
+    """The 37 cells of the summary layout by their header, '' for every missing text."""
+    c, t = F.col, S.clean_text
     ev, aq, mc = c("field_evidence"), c("aqueous_parameters"), c("model_confidences")
     values = [
-        c("paper_id"), t(c("paper_doi")), t(c("publication_year")), t(c("corresponding_author_name")), t(c("corresponding_email_address")), t(c("physical_address")), t(c("analyte_polymer")), t(c("critical_component")), t(c("architecture")),
-        t(c("critical_condition_basis")), t(c("column_name")), t(c("stationary_phase_chemistry")), t(c("column_mode")), t(c("pore_size")), t(c("column_dimensions")), F.coalesce(F.array_join("mobile_phase_solvents", ", "), F.lit("")),
-        t(c("mobile_phase_ratio")), t(c("mobile_phase_ratio_units")), t(aq["pH"]), t(aq["salt_added"]), t(aq["salt_type"]), t(aq["salt_concentration"]), t(c("temperature_celsius")), t(c("flow_rate")), t(c("detector")), t(c("critical_condition_confidence")),
+        F.coalesce("paper_id", F.lit("")), t(c("paper_doi")), t(c("publication_year")), t(c("corresponding_author_name")), t(c("corresponding_email_address")), t(c("physical_address")), t(c("analyte_polymer")), t(c("critical_component")), t(c("architecture")),
+        t(c("critical_condition_basis")), t(c("column_name")), t(c("stationary_phase_chemistry")), t(c("column_mode")), t(c("pore_size")), t(c("column_dimensions")), t(F.array_join("mobile_phase_solvents", ", ")),
+        t(c("mobile_phase_ratio")), t(c("mobile_phase_ratio_units")), t(aq["pH"]), S.shown(aq["salt_added"]), t(aq["salt_type"]), t(aq["salt_concentration"]), t(c("temperature_celsius")), t(c("flow_rate")), t(c("detector")), t(c("critical_condition_confidence")),
         t(mc["qwen"]), t(mc["mistral"]), *[t(ev[k]) for k in ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")], t(c("notes")),
     ]
-    return records.select(*[v.alias(n) for v, n in zip(values, SUMMARY_HEADER)])
+    return dict(zip(SUMMARY_HEADER, values))
+
+
+def summary_rows(records: DataFrame) -> DataFrame:
+    """The 37 columns of the summary layout."""
+    return records.select(*[v.alias(n) for n, v in summary_cells().items()])
 
 
 def standard_rows(standardized: DataFrame) -> DataFrame:
     """The 45 columns of the standardised layout, everything as text."""
-    c, t = F.col, lambda x: S.clean_text(x.cast("string"))
+    c, t = F.col, S.clean_text
     joined = lambda x: F.coalesce(F.array_join(x.cast("array<string>"), ", "), F.lit(""))
     aq, mc, ev = c("aqueous_parameters"), c("model_confidences"), c("field_evidence")
     values = [
-        c("paper_id"), t(c("paper_doi")), t(c("publication_year")), t(c("corresponding_author_name")), t(c("corresponding_email_address")), t(c("physical_address")), t(c("analyte_polymer")), t(c("critical_component")), t(F.coalesce("architecture_raw", "architecture")), t(c("architecture")),
-        t(c("critical_condition_basis")), t(c("column_name")), t(c("stationary_phase_chemistry")), t(c("column_mode")), t(c("pore_size_raw")), F.when(c("pore_size_angstrom").isNotNull(), t(c("pore_size_angstrom"))).otherwise(joined(c("pore_size_angstrom_list"))), t(c("pore_size_min_angstrom")), t(c("pore_size_max_angstrom")),
-        t(c("column_dimensions")), joined(c("mobile_phase_solvents")), t(c("mobile_phase_ratio_raw")), joined(c("mobile_phase_ratio_components")), t(c("mobile_phase_ratio_min")), t(c("mobile_phase_ratio_max")), t(c("mobile_phase_ratio_units_raw")), t(c("mobile_phase_ratio_units")),
-        t(aq["pH"]), t(aq["pH_modifier"]), t(aq["salt_added"]), t(aq["salt_type"]), t(aq["salt_concentration"]), F.when(c("temperature_min_celsius").isNotNull(), t(c("temperature_raw"))).otherwise(t(c("temperature_celsius"))), t(c("temperature_celsius")), t(c("temperature_min_celsius")), t(c("temperature_max_celsius")),
-        t(c("flow_rate_raw")), t(c("flow_rate_ml_per_min")), t(c("flow_rate_min_ml_per_min")), t(c("flow_rate_max_ml_per_min")), t(c("detector")), t(c("critical_condition_confidence")), t(mc["qwen"]), t(mc["mistral"]), F.concat_ws(" | ", *[ev[k] for k in ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")]), t(c("notes")),
+        c("paper_id"), t(c("paper_doi")), S.shown(c("publication_year")), t(c("corresponding_author_name")), t(c("corresponding_email_address")), t(c("physical_address")), t(c("analyte_polymer")), t(c("critical_component")), t(F.coalesce("architecture_raw", "architecture")), S.shown(c("architecture")),
+        t(c("critical_condition_basis")), t(c("column_name")), t(c("stationary_phase_chemistry")), S.shown(c("column_mode")), t(c("pore_size_raw")), F.when(c("pore_size_angstrom").isNotNull(), S.shown(c("pore_size_angstrom"))).otherwise(joined(c("pore_size_angstrom_list"))), S.shown(c("pore_size_min_angstrom")), S.shown(c("pore_size_max_angstrom")),
+        t(c("column_dimensions")), joined(c("mobile_phase_solvents")), t(c("mobile_phase_ratio_raw")), joined(c("mobile_phase_ratio_components")), S.shown(c("mobile_phase_ratio_min")), S.shown(c("mobile_phase_ratio_max")), t(c("mobile_phase_ratio_units_raw")), S.shown(c("mobile_phase_ratio_units")),
+        t(aq["pH"]), t(aq["pH_modifier"]), S.shown(aq["salt_added"]), t(aq["salt_type"]), t(aq["salt_concentration"]), F.when(c("temperature_min_celsius").isNotNull(), t(c("temperature_raw"))).otherwise(S.shown(c("temperature_celsius"))), S.shown(c("temperature_celsius")), S.shown(c("temperature_min_celsius")), S.shown(c("temperature_max_celsius")),
+        t(c("flow_rate_raw")), S.shown(c("flow_rate_ml_per_min")), S.shown(c("flow_rate_min_ml_per_min")), S.shown(c("flow_rate_max_ml_per_min")), t(c("detector")), t(c("critical_condition_confidence")), t(mc["qwen"]), t(mc["mistral"]), F.concat_ws(" | ", *[ev[k] for k in ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")]), t(c("notes")),
     ]
     return standardized.select(*[v.alias(n) for v, n in zip(values, STANDARD_HEADER)])

@@ -166,18 +166,26 @@ def summary_export(r: DataFrame) -> DataFrame:
     return standardize.summary_rows(r.join(best, "record_id", "left_semi"))
 
 
-_n0 = lambda c: f"coalesce(round_even({_first(c)}, 0)::VARCHAR, '')"
-_filled = " + ".join(f"(coalesce({c}, '') <> '')::INT" for c in standardize.FILLED)
-
-
-@query(
-    "fingerprint_dedup",
-    f"""
-WITH a AS (SELECT record_id, {_filled} filled, paper_id p, {_norm('stationary_phase_chemistry')} s, {_norm('column_name')} c, {_canon('critical_component')} cc, {_canon('analyte_polymer')} ap, {_n0('mobile_phase_ratio')} r, {_n0('temperature_celsius')} t FROM records),
-b AS (SELECT *, row_number() OVER (PARTITION BY p, s, c, cc, ap, r, t ORDER BY filled DESC, record_id) rn, min(record_id) OVER (PARTITION BY p, s, c, cc, ap, r, t) first_pos, count(*) OVER (PARTITION BY p, s, c, cc, ap, r, t) n FROM a)
-SELECT record_id, filled, first_pos, n FROM b WHERE rn = 1
-""",
-)
+_n0 = lambda c: f"coalesce(round_even(TRY_CAST(regexp_extract({c}, '(\\d+\\.?\\d*)', 1) AS DOUBLE), 0)::VARCHAR, '')"
+_cl = lambda c: f"CASE WHEN {c} IS NULL OR lower({c}) = 'null' THEN '' ELSE {c} END"
+_EVS = ("critical_condition_basis", "critical_component", "column_name", "mobile_phase_solvents", "mobile_phase_ratio", "temperature_celsius", "pore_size", "flow_rate")
+_cell_of = [
+    "coalesce(paper_id, '')",
+    *[_cl(c) for c in ("paper_doi", "publication_year", "corresponding_author_name", "corresponding_email_address", "physical_address", "analyte_polymer", "critical_component", "architecture", "critical_condition_basis", "column_name", "stationary_phase_chemistry", "column_mode", "pore_size", "column_dimensions")],
+    _cl("array_to_string(mobile_phase_solvents, ', ')"), _cl("mobile_phase_ratio"), _cl("mobile_phase_ratio_units"), _cl("aqueous_parameters.pH"), "coalesce(aqueous_parameters.salt_added::VARCHAR, '')", _cl("aqueous_parameters.salt_type"), _cl("aqueous_parameters.salt_concentration"),
+    *[_cl(c) for c in ("temperature_celsius", "flow_rate", "detector", "critical_condition_confidence", "model_confidences.qwen", "model_confidences.mistral")], *[_cl(f"field_evidence.{c}") for c in _EVS], _cl("notes"),
+]
+_CELLS = ", ".join(f'{c} AS "{h}"' for c, h in zip(_cell_of, standardize.SUMMARY_HEADER))
+_filled = " + ".join(f"""("{h}" NOT IN ('', 'false'))::INT""" if h == "Aqueous Salt Added" else f"""("{h}" <> '')::INT""" for h in standardize.SUMMARY_HEADER)
+_h = lambda h: _norm(f'"{h}"')
+_BEST = f"""cells AS (SELECT record_id, {_CELLS} FROM records),
+a AS (SELECT *, {_filled} filled, {_h('Paper')} p, {_h('Stationary Phase Chemistry')} s, {_h('Column Name')} c, {_canon(_h('Critical Component'))} cc, {_canon(_h('Analyte Polymer'))} ap, {_n0('"Mobile Phase Ratio"')} r, {_n0('"Temperature (°C)"')} t FROM cells),
+b AS (SELECT *, row_number() OVER (PARTITION BY p, s, c, cc, ap, r, t ORDER BY filled DESC, record_id) rn, min(record_id) OVER (PARTITION BY p, s, c, cc, ap, r, t) first_pos, count(*) OVER (PARTITION BY p, s, c, cc, ap, r, t) n FROM a)"""
+_HEADER = ", ".join(f'"{h}"' for h in standardize.SUMMARY_HEADER)
+SQL["summary_export"] = f"WITH {_BEST} SELECT {_HEADER} FROM b WHERE rn = 1"
+
+
+@query("fingerprint_dedup", f"WITH {_BEST} SELECT record_id, filled, first_pos, n FROM b WHERE rn = 1")
 def fingerprint_dedup(r: DataFrame) -> DataFrame:
     return standardize.fingerprint_dedup(r)
 
@@ -216,7 +224,8 @@ def solvent_sets(r: DataFrame) -> DataFrame:
 
 _u = lambda expr: " UNION ALL ".join(f"SELECT '{c}' field, {expr.format(c=c)} FROM records" for c in quality.TEXTS)
 query("null_profile", _u("coalesce(sum(({c} IS NULL OR {c} = '')::INT), 0)::BIGINT n_null, count(*) n_rows"))(quality.null_profile)
-_spelled = _u("coalesce(sum((lower({c}) = 'null')::INT), 0)::BIGINT n")
+_NESTED = [*[f"aqueous_parameters.{k}" for k in ("pH", "salt_type", "salt_concentration", "pH_modifier")], *[f"field_evidence.{k}" for k in _EVS], "model_confidences.qwen", "model_confidences.mistral"]
+_spelled = " UNION ALL ".join(f"SELECT '{c}' field, coalesce(sum((lower({c}) = 'null')::INT), 0)::BIGINT n FROM records" for c in (*quality.TEXTS, *_NESTED))
 query("null_strings", f"SELECT * FROM ({_spelled}) WHERE n > 0")(quality.null_strings)
 _e = " + ".join(f"({'mobile_phase_solvents IS NULL OR len(mobile_phase_solvents) = 0' if c == 'mobile_phase_solvents' else f'{c} IS NULL OR lower({c}) = {chr(39)}null{chr(39)}'})::INT" for c in quality.CRITICAL)
 query("null_heavy", f"SELECT record_id, {_e} n_empty FROM records WHERE {_e} >= 3")(quality.null_heavy)
@@ -231,7 +240,12 @@ query(
 WHERE fractionation OR high_temperature OR comma_analyte OR simulation OR no_identity""",
 )(quality.flags)
 query("missing_setup", "SELECT record_id FROM records WHERE column_name IS NULL AND flow_rate IS NULL AND detector IS NULL")(quality.missing_setup)
-query("split_analytes")(quality.split_analytes)
+query(
+    "split_analytes",
+    """WITH a AS (SELECT record_id, regexp_replace(analyte_polymer, '\\(([^()]*)\\)', '(\\1)', 'g') x FROM records WHERE analyte_polymer IS NOT NULL),
+p AS (SELECT record_id, list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all(x, '\\([^()]*\\)|[^()]+|[()]'), lambda q: CASE WHEN q LIKE '(%)' THEN q ELSE regexp_replace(q, ',\\s+', chr(1), 'g') END), ''), chr(1)), lambda q: trim(q, E' \\t\\n\\r\\f\\x0b')), lambda q: q <> '') parts FROM a)
+SELECT record_id, (unnest(generate_series(0, len(parts) - 1)))::INTEGER pos, unnest(parts) analyte FROM p WHERE len(parts) > 0""",
+)(quality.split_analytes)
 query("counts_rollup", "SELECT subfolder, model, count(*) n, (grouping(subfolder) * 2 + grouping(model))::BIGINT AS \"level\" FROM records GROUP BY ROLLUP (subfolder, model)")(quality.counts_rollup)
 query("top_detectors", "SELECT detector AS \"value\", count(*) n FROM records GROUP BY 1 ORDER BY n DESC, 1 NULLS LAST LIMIT 10")(lambda r: quality.top_values(r, "detector"))
 
@@ -250,9 +264,12 @@ query("exact_duplicates", f"WITH a AS (SELECT paper_id, {_sig} FROM records), g
 query("first_of_signature", f"WITH a AS (SELECT record_id, paper_id, {_sig} FROM records), b AS (SELECT record_id, min(record_id) OVER (PARTITION BY paper_id, s0, s1, s2, s3, s4, s5) first_id FROM a) SELECT * FROM b WHERE record_id > first_id")(quality.first_of_signature)
 query(
     "near_duplicates",
-    f"""WITH a AS (SELECT paper_id, {_norm('column_name')} column_name, {_norm('mobile_phase_ratio')} mobile_phase_ratio, {_norm('temperature_celsius')} temperature_celsius, {_norm('critical_component')} critical_component, {_norm('analyte_polymer')} an FROM records)
-SELECT paper_id, column_name, mobile_phase_ratio, temperature_celsius, critical_component, count(*) n_records, count(DISTINCT an) n_analytes FROM a WHERE column_name <> '' AND mobile_phase_ratio <> '' AND temperature_celsius <> '' GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT an) > 1""",
+    f"""WITH a AS (SELECT subfolder, paper_id, {_norm('column_name')} column_name, {_norm('mobile_phase_ratio')} mobile_phase_ratio, {_norm('temperature_celsius')} temperature_celsius, {_norm('critical_component')} critical_component, {_norm('analyte_polymer')} an FROM records),
+g AS (SELECT subfolder, paper_id, column_name, mobile_phase_ratio, temperature_celsius, critical_component, an, count(*) n FROM a WHERE column_name <> '' AND mobile_phase_ratio <> '' AND temperature_celsius <> '' GROUP BY ALL)
+SELECT subfolder, paper_id, column_name, mobile_phase_ratio, temperature_celsius, critical_component, sum(n)::BIGINT n_records, count(*) n_analytes, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT n_pairs FROM g GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) > 1""",
 )(quality.near_duplicates)
+_five = ", ".join(f"{_norm(c)} s{k}" for k, c in enumerate(quality.REPEATED))
+query("repeated_records", f"WITH a AS (SELECT subfolder, paper_id, {_five} FROM records) SELECT subfolder, paper_id, sum(n - 1)::BIGINT extras FROM (SELECT subfolder, paper_id, s0, s1, s2, s3, s4, count(*) n FROM a GROUP BY ALL) GROUP BY 1, 2 HAVING sum(n - 1) > 0")(quality.repeated)
 query(
     "compare_extractors",
     f"""WITH o AS (SELECT subfolder, paper_id, count(*) n_old FROM records WHERE model = '{FIRST}' GROUP BY 1, 2), w AS (SELECT subfolder, paper_id, count(*) n_new FROM records WHERE model = '{SECOND}' GROUP BY 1, 2),
@@ -266,7 +283,7 @@ query(
     "model_coverage",
     f"WITH a AS (SELECT paper_id, count(*) n FROM records WHERE model = '{FIRST}' GROUP BY 1), b AS (SELECT DISTINCT paper_id, 1 x FROM records WHERE model = '{SECOND}') SELECT count(*) n_papers, count(x) n_with_second, sum(n)::BIGINT n_records_first FROM a LEFT JOIN b USING (paper_id)",
 )(lambda r: quality.model_coverage(r, FIRST, SECOND))
-query("position_consistency")(lambda r: quality.position_consistency(r.where(F.col("model") == FIRST), r.where(F.col("model") == SECOND)))
+query("position_consistency")(lambda r: resolve.position_consistency(r, FIRST, SECOND))
 
 # ---- resolution ----
 
@@ -345,7 +362,12 @@ QUERIES["stream_event_windows"] = _stream_windows
 SQL["stream_event_windows"] = "SELECT date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(\"value\"), 4) total FROM events GROUP BY 1, 2"
 
 
-@query("extract_with_stand_in", on="documents")
+@query(
+    "extract_with_stand_in",
+    """WITH a AS (SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w\\s])')) n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 1::BIGINT n_chunks, 1::BIGINT n_ok, n::BIGINT total_tokens FROM a WHERE n <= 25000""",
+    on="documents",
+)
 def extract_with_stand_in(d: DataFrame) -> DataFrame:
     """Chunks, prompts, answers of the deterministic stand-in, assembled per document."""
     from retentia.operators import extractors as X
@@ -371,7 +393,12 @@ _stamp = ", ".join(f"coalesce(nullif(r.{c}, ''), m.{c}) {c}" for c in quality.ME
 query("stamped_metadata", f"WITH a AS (SELECT *, (CASE model WHEN 'consensus' THEN 0 WHEN 'qwen-27b' THEN 1 WHEN 'mistral-24b' THEN 2 ELSE 3 END)::BIGINT * 1000000000000000 + record_id k FROM records), m AS (SELECT paper_id, {_meta} FROM a GROUP BY 1) SELECT record_id, {_stamp} FROM records r LEFT JOIN m USING (paper_id)")(
     lambda r: quality.stamp_metadata(r, quality.paper_metadata(r)).select("record_id", *quality.METADATA)
 )
-query("deep_dive")(quality.deep_dive)
-_checks = {"null_heavy": "null_heavy", "missing_setup": "missing_setup", "near_duplicates": "near_duplicates", "repeated": "first_of_signature"}
+query(
+    "deep_dive",
+    f"""SELECT replace(paper_id, '.pdf', '') paper, subfolder, critical_component, analyte_polymer, column_name, stationary_phase_chemistry, mobile_phase_ratio, mobile_phase_ratio_units, temperature_celsius, flow_rate, detector,
+coalesce(array_to_string(mobile_phase_solvents, ', '), '') solvents, model_confidences.qwen qwen, model_confidences.mistral mistral, concat_ws(' | ', {_evs}) evidence FROM records WHERE model = 'consensus'""",
+)(quality.deep_dive)
+_checks = {"null_heavy": "null_heavy", "missing_setup": "missing_setup"}
 _counted = [f"SELECT '{n}' name, count(*) n FROM ({SQL[q]})" for n, q in _checks.items()] + [f"SELECT '{n}' name, count(*) n FROM ({SQL['record_flags']}) WHERE {n}" for n in ("fractionation", "high_temperature", "comma_analyte", "simulation")]
+_counted += [f"SELECT '{n}' name, coalesce(sum({c}), 0)::BIGINT n FROM ({SQL[q]})" for n, c, q in (("near_duplicates", "n_pairs", "near_duplicates"), ("repeated", "extras", "repeated_records"))]
 query("audit", " UNION ALL ".join([*_counted, f"SELECT 'null_strings' name, coalesce(sum(n), 0)::BIGINT n FROM ({SQL['null_strings']})"]))(quality.audit)

@@ -34,8 +34,8 @@ def envelopes(spark: SparkSession, path: str, pattern: str = "*.json", strict: b
 
 
 def base_name(file_name: Column) -> Column:
-    """File name without the endings a run adds."""
-    return F.regexp_replace(file_name, r"(_latest|_consensus|_extracted_\d{8}_\d{6})?\.json$", "")
+    """File name without the endings a run adds, in the order in which they are added last."""
+    return F.regexp_replace(file_name, r"(_extracted_\d{8}_\d{6})?(_consensus)?(_latest)?\.json$", "")
 
 
 def latest_files(files: DataFrame) -> DataFrame:

@@ -49,7 +49,78 @@ def test_native_fold_equals_python(spark):
 
 def test_fingerprints_keep_the_fullest_first(spark):
     df = records(spark, [{"record_id": 1, "paper_id": "P", "column_name": "a"}, {"record_id": 2, "paper_id": "P", "column_name": " A ", "notes": "x"}, {"record_id": 3, "paper_id": "P", "column_name": "a", "notes": "y"}])
-    assert rows(standardize.fingerprint_dedup(df)) == [(2, 2, 1, 3)]
+    assert rows(standardize.fingerprint_dedup(df)) == [(2, 3, 1, 3)]  # paper, column and notes
+
+
+def test_fingerprints_read_the_cleaned_summary_cells(spark):
+    full = {"paper_id": "P", "column_name": "a", "mobile_phase_ratio": "THF-50", "field_evidence": ("x", "y", None, None, None, None, None, None), "mobile_phase_solvents": ["THF"]}
+    data = [
+        {"record_id": 1, "paper_id": "p", "column_name": "A", "mobile_phase_ratio": "50"},  # a minus before a number is a dash
+        {"record_id": 2, **full},  # quotations and solvents fill cells
+        {"record_id": 3, "paper_id": "Q", "column_name": "null", "notes": "NULL"},
+        {"record_id": 4, "paper_id": "Q", "aqueous_parameters": (None, False, None, None, None)},  # a salt that was not added fills nothing
+        {"record_id": 5, "paper_id": "R", "temperature_celsius": "24.5"},
+        {"record_id": 6, "paper_id": "R", "temperature_celsius": "24 °C"},  # halves go to the even number
+        {"record_id": 7, "temperature_celsius": None},
+    ]
+    assert rows(standardize.fingerprint_dedup(records(spark, data)).select("record_id", "first_pos", "n")) == [(2, 1, 2), (3, 3, 2), (5, 5, 2), (7, 7, 1)]
+
+
+def test_runs_without_a_time(spark):
+    df = records(spark, run("qwen-27b", None, 1, [SPEC]) + run("mistral-24b", T0, 5, [SPEC]) + run("mistral-24b", None, 9, [SPEC, SPEC]))
+    assert rows(resolve.latest_runs(df).select("model", F.size("items"))) == [("mistral-24b", 1), ("qwen-27b", 1)]
+    assert rows(resolve.dedup_runs(df).select("record_id")) == [(1,), (5,)]
+    assert rows(resolve.consensus(df).select("record_id", "qwen", "mistral")) == [(1, "explicit", "explicit")]
+
+
+def test_evidence_is_merged_entry_by_entry():
+    a, b = {"field_evidence": {"x": "A", "y": "A", "z": None}, "notes": "n"}, {"field_evidence": {"x": None, "y": "B", "z": "B"}, "notes": "m"}
+    assert M.merge_consensus(a, b) == {"field_evidence": {"x": "A", "y": "B", "z": "B"}, "notes": "n"}
+    assert M.merge_consensus({**a, "source_model": "qwen"}, b)["field_evidence"]["y"] == "A"
+    assert M.merge_consensus({"field_evidence": None}, {}) == {"field_evidence": None}
+
+
+def test_pairs_of_near_duplicates_are_counted(spark):
+    one = lambda i, an, paper="P": {"record_id": i, "paper_id": paper, "subfolder": "s", **SPEC, "analyte_polymer": an}
+    data = [one(1, "PS"), one(2, "ps "), one(3, "PMMA"), one(4, "PEG"), one(5, "PS", "Q"), one(6, "PS", "Q")]
+    got = quality.near_duplicates(records(spark, data)).collect()
+    brute = sum(1 for a in ("ps", "ps", "pmma", "peg") for b in ("ps", "ps", "pmma", "peg") if a < b)
+    assert [(r["paper_id"], r["n_records"], r["n_analytes"], r["n_pairs"]) for r in got] == [("P", 4, 3, brute)]
+    assert rows(quality.repeated(records(spark, data))) == [("s", "P", 1), ("s", "Q", 1)]
+
+
+def test_position_consistency_compares_whole_records(spark):
+    other = {**SPEC, "notes": "another note"}
+    df = records(spark, run("qwen-27b", T0, 1, [SPEC]) + run("mistral-24b", T0, 5, [SPEC]) + run("qwen-27b", T0, 11, [SPEC], "Q") + run("mistral-24b", T0, 15, [other, {"column_name": "Zorbax"}], "Q") + run("mistral-24b", T0, 21, [SPEC], "R"))
+    assert rows(resolve.position_consistency(df)) == [(3, 3, 1.0)]
+    split = records(spark, run("qwen-27b", T0, 1, [{**SPEC, "notes": "a"}]) + run("mistral-24b", T0, 5, [{**SPEC, "notes": "b"}]))
+    assert rows(resolve.position_consistency(split)) == [(1, 0, 0.0)]
+    assert rows(resolve.position_consistency(records(spark, []))) == [(0, 0, 0.0)]
+
+
+def test_words_of_null_one_level_down(spark):
+    df = records(spark, [{"notes": "Null", "model_confidences": ("null", "x"), "aqueous_parameters": ("NULL", True, None, None, None)}])
+    assert rows(quality.null_strings(df)) == [("aqueous_parameters.pH", 1), ("model_confidences.qwen", 1), ("notes", 1)]
+
+
+def test_mean_score_and_names_of_references(spark):
+    scores = spark.createDataFrame([("P", "a", "exact"), ("P", "b", "missing"), ("Q", "a", "partial")], "paper_id string, field string, status string")
+    assert {r["mean_score"] for r in evaluate.summary(scores).collect()} == {0.5}
+    ann = spark.createDataFrame([("Smith 2001", "x"), ("Other", "y")], "reference string, temperature string")
+    names = spark.createDataFrame([("Smith 2001", "paper 7"), (None, "z")], "reference string, paper_id string")
+    assert rows(evaluate.by_paper_name(ann, names)) == [("Other", "y"), ("paper 7", "x")]
+
+
+def test_endings_of_file_names(spark):
+    df = spark.createDataFrame([("a_latest.json",), ("a_consensus_latest.json",), ("a_extracted_20240101_101010_consensus.json",), ("a_extracted_20240101_101010.json",), ("a_latest_x.json",)], "n string")
+    assert rows(df.select(readers.base_name(F.col("n")))) == [("a",)] * 4 + [("a_latest_x",)]
+
+
+def test_split_text_counts_sections_once():
+    calls = []
+    text = "\n\n".join(f"word{k} " * 20 for k in range(200))
+    parts = docs.split_text(text, 100, lambda t: calls.append(len(t)) or docs.count_tokens(t))
+    assert "".join(parts) == text and all(docs.count_tokens(p) <= 100 for p in parts) and sum(calls) < 5 * len(text)
 
 
 def test_audits_on_empty_and_null_rows(spark):
