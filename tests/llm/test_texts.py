@@ -267,3 +267,11 @@ def test_reading_levels(spark):
     assert got[9000] is None and got[9001] is None and got[9002] is None
     assert {r["level"] for r in reading.reading_levels(docs, labs.limit(0)).collect()} == {None}
     assert reading.reading_levels(docs.limit(0), labs).count() == 0
+
+
+def test_levels_do_not_depend_on_the_order_of_tasks(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["plain", "word", "cat", "eluent", "isocratic", "adsorption"]) for _ in range(30))) for i in range(300)], "doc_id bigint, text string")
+    labs = spark.createDataFrame([(i, "r", 1 + i % 5) for i in range(100)], "doc_id bigint, rater string, reading_level int")
+    f = lambda d: [tuple(r) for r in reading.reading_levels(d, labs, buckets=64).orderBy("doc_id").collect()]
+    assert f(docs.repartition(7)) == f(docs.orderBy(F.desc("doc_id")).coalesce(2))
