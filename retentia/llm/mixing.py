@@ -1,25 +1,29 @@
 """Mixing sources to target weights: Efraimidis-Spirakis sampling against token budgets.
 
-Every document gets an exponential key -ln(u)/w, u a hash of its id and the seed, w its quality weight; ascending keys are a weighted
-sample without replacement. A source's budget is first met by complete epochs; what is left is filled in key
+Every document gets an exponential key -ln(u)/w, u a hash of its id, text and the seed, w its quality weight; ascending keys are a
+weighted sample without replacement. A source's budget is first met by complete epochs; what is left is filled in key
 order up to the last document that fits a prefix sum of tokens. `max_repeats` is how often a document may appear at most.
 
 The prefix sum is distributed: keys are mapped to [0, 1), token sums per (source, bin) are aggregated and the bin in which the
-budget ends is split again until it holds few rows, so only those rows are ever sorted together, whatever the size of a source.
-Token counts are made once and written to the shared folder.
+budget ends is split again until every source has few rows in it; rows whose keys are equal are split by a second random number
+that each row got when it was written. Only the rows of that last bin are ever sorted together, whatever the size of a source. The
+state of the search is a table with one row a source, joined over `SALTS` places, so the number of sources has no bound and no source is a
+task of its own. Token counts are made once and written to the shared folder; the vocabulary travels with the job.
 
 Defined results: documents without text have 0 tokens and are taken with their epoch; documents of no target source
-(null too) are left out; targets without documents are reported with what was reached (0); ties in keys go to the
-smaller id; repeated rows are documents of their own; with no documents all reached shares are 0.
+(null too) are left out; targets without documents are reported with what was reached (0), a source named twice counts with
+its first target; repeated rows are documents of their own; with no documents all reached shares are 0.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -29,7 +33,7 @@ from retentia.common import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of that public byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BINS, FEW, SOURCES = 1024, 20_000, 10_000
+BINS, FEW, SALTS, ROUNDS = 1024, 20_000, 16, 5  # 1024^5 bins part any two keys; powers of two, so that no edge is rounded
 
 
 @lru_cache(maxsize=2)
@@ -44,9 +48,12 @@ def encoding(path: str):
 def with_tokens(df: DataFrame, text_col: str, path: str = TOKENIZER, name: str = "tokens") -> DataFrame:
     """Adds the number of tokens of the whole text; 0 for none."""
 
+    name_of_file = os.path.basename(path)
+    df.sparkSession.sparkContext.addFile(path)
+
     @F.pandas_udf("bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(name_of_file))
         for t in texts:
             yield t.map(lambda x: len(enc.encode_ordinary(x)) if isinstance(x, str) else 0).astype("int64")
 
@@ -60,78 +67,86 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), letters / F.nullif(n, F.lit(0.0)) * (0.5 + 0.5 * F.least(F.lit(1.0), n / 1000))), F.lit(0.05))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
+def uniform(seed: int, *c: Column) -> Column:
     """(0, 1) from a hash: the same for every run and every retried task."""
-    return (F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(2**52)) + 0.5) / float(2**52)
+    return (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(2**52)) + 0.5) / float(2**52)
+
+
+def _salt(*c: str) -> Column:
+    return F.pmod(F.xxhash64(*c), F.lit(SALTS)).cast("int")
+
 
+def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Rows beside the columns of their source; rows of other sources fall out."""
+    every = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(every, ["source", "salt"])
 
-def sized(documents: DataFrame, sources: list[str], seed: int, path: str) -> DataFrame:
-    """(doc_id, source, tokens, x): token count and the key mapped to [0, 1), written once; the largest keys (some 740) stay below 1 and apart."""
-    d = documents.where(F.col("source").isin(*sources)) if sources else documents.where("false")
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
-    return materialize(with_tokens(d.select("doc_id", "source", "text", (key / (key + 1)).alias("x")), "text", path).select("doc_id", "source", "tokens", "x"))
 
+def sized(documents: DataFrame, sources: DataFrame, seed: int, path: str) -> DataFrame:
+    """(doc_id, source, tokens, x, y, salt): token count, the key mapped to [0, 1) and the second number, written once; the largest keys (some 740) stay below 1 and apart."""
+    key = -F.log(uniform(seed, F.col("doc_id"), F.col("text"))) / quality_weight(F.col("text"))
+    d = documents.where("source is not null").select("doc_id", "source", "text", (key / (key + 1)).alias("x"), uniform(seed + 1, F.monotonically_increasing_id()).alias("y"))
+    d = _with_source(d.withColumn("salt", _salt("y")), sources.select("source"))
+    return materialize(with_tokens(d, "text", path).select("doc_id", "source", "tokens", "x", "y", "salt"))
 
-def plan(available: dict[str, int], targets: list[tuple[str, float, int]], total: int) -> dict[str, tuple[int, int]]:
-    """(complete epochs, tokens left for a fraction) of every source."""
-    out = {}
-    for source, share, most in targets:
-        have, want = available.get(source, 0), int(share * total)
-        epochs = min(most, want // have) if have else 0
-        out[source] = (epochs, want - epochs * have if have and epochs < most else 0)
-    return out
 
+def plan(available: DataFrame, targets: DataFrame, total: int) -> DataFrame:
+    """(source, target_share, max_repeats, available_tokens, epochs, left): complete epochs and the tokens left for a fraction of every source."""
+    t = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("s"), F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int").alias("m"))).alias("t"))
+    t = t.join(available, "source", "left").select("source", F.col("t.s").alias("target_share"), F.col("t.m").alias("max_repeats"), F.coalesce("available_tokens", F.lit(0)).cast("bigint").alias("available_tokens"))
+    want, have = F.floor(F.col("target_share") * total), F.nullif(F.col("available_tokens"), F.lit(0))
+    t = t.withColumn("epochs", F.coalesce(F.least(F.col("max_repeats"), F.floor(want / have)), F.lit(0)).cast("int"))
+    left = F.when((F.col("available_tokens") > 0) & (F.col("epochs") < F.col("max_repeats")), want - F.col("epochs") * F.col("available_tokens")).otherwise(0)
+    return t.withColumn("left", left.cast("bigint"))
 
-def _per_source(values: dict[str, float], default: float) -> Column:
-    out = F.lit(float(default))
-    for s, v in values.items():
-        out = F.when(F.col("source") == s, float(v)).otherwise(out)
-    return out
 
+def _inside() -> Column:
+    """Rows of the box in which the budget of their source ends."""
+    return (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+
+def _narrow(s: DataFrame, state: DataFrame, v: str, few: int) -> tuple[DataFrame, bool]:
+    """The box of every source cut to the bin of `v` in which its budget ends; and whether every box holds few rows already."""
+    width = F.col(f"{v}1") - F.col(f"{v}0")
+    rows = _with_source(s, state.where("left > 0")).where(_inside())
+    bins = materialize(rows.groupBy("source", F.floor((F.col(v) - F.col(f"{v}0")) / width * BINS).alias("b")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")))
+    most = bins.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= few:
+        return state, True
+    up_to = F.sum("t").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))  # at most BINS rows a source
+    w = bins.withColumn("upto", up_to).join(state.select("source", "left"), "source")
+    end = w.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("b", (F.col("upto") - F.col("t")).alias("used")))).alias("e"), F.max("upto").alias("all"))
+    j = state.join(end, "source", "left")
+    lo = F.when(F.col("all").isNull(), F.col(f"{v}0")).when(F.col("e").isNull(), F.col(f"{v}1")).otherwise(F.col(f"{v}0") + F.col("e.b") * width / BINS)
+    hi = F.when(F.col("e").isNull(), F.col(f"{v}1")).otherwise(F.col(f"{v}0") + (F.col("e.b") + 1) * width / BINS)
+    left = F.col("left") - F.coalesce(F.col("e.used"), F.when(F.col("e").isNull(), F.col("all")), F.lit(0))
+    return materialize(j.withColumns({f"{v}0": lo, f"{v}1": hi, "left": left, "by_y": F.lit(v == "y")}).select(*state.columns)), False
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): doc_id, source, tokens, copies of every chosen document; and target, available and reached tokens and shares per source."""
-    spark = documents.sparkSession
-    rows = targets.where("source is not null").select("source", F.col("target_share").cast("double"), F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int")).limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError("too many sources")
-    wanted = [(r[0], r[1] or 0.0, r[2]) for r in rows]
-    s = sized(documents, [w[0] for w in wanted], seed, tokenizer)
-    available = {r["source"]: int(r["t"]) for r in s.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total = total_tokens if total_tokens is not None else sum(available.values())
-    todo = plan(available, wanted, total)
-
-    lo = {k: 0.0 for k in todo}  # everything below is chosen
-    hi = {k: (1.0 if left > 0 else 0.0) for k, (_, left) in todo.items()}
-    left = {k: v for k, (_, v) in todo.items()}
-    for _ in range(6):
-        width = F.nullif(_per_source(hi, 0.0) - _per_source(lo, 0.0), F.lit(0.0))
-        inside = s.where((F.col("x") >= _per_source(lo, 0.0)) & (F.col("x") < _per_source(hi, 0.0)))
-        b = F.least(F.floor((F.col("x") - _per_source(lo, 0.0)) / width * BINS), F.lit(BINS - 1))
-        bins: dict[str, dict[int, tuple[int, int]]] = {}
-        for r in inside.groupBy("source", b.alias("b")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect():  # at most sources x BINS rows
-            bins.setdefault(r["source"], {})[int(r["b"])] = (int(r["t"]), int(r["n"]))
-        if sum(n for m in bins.values() for _, n in m.values()) <= FEW:
+    s = sized(documents, targets.where("source is not null").select("source").distinct(), seed, tokenizer)
+    available = s.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+    total = total_tokens if total_tokens is not None else int(available.agg(F.sum("available_tokens")).first()[0] or 0)
+    todo = materialize(plan(available, targets, total))
+
+    # the box in which the budget ends: everything below it is chosen; without a budget it is empty
+    corner = F.when(F.col("left") > 0, 1.0).otherwise(0.0)
+    state = todo.select("source", "epochs", "left", F.lit(0.0).alias("x0"), corner.alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1"), F.lit(False).alias("by_y"))
+    for v in "x" * ROUNDS + "y" * ROUNDS:
+        state, done = _narrow(s, state, v, few)
+        if done:
             break
-        for source, m in bins.items():
-            w = (hi[source] - lo[source]) / BINS
-            base, at = lo[source], 0
-            while at < BINS and left[source] >= m.get(at, (0, 0))[0]:
-                left[source] -= m.get(at, (0, 0))[0]
-                at += 1
-            lo[source], hi[source] = (base + at * w, base + (at + 1) * w) if at < BINS else (hi[source], hi[source])
-
-    # rows right at a bin's edge belong to exactly one side: the same comparisons decide everywhere
-    below = F.col("x") < _per_source(lo, 0.0)
-    edge = s.where((F.col("x") >= _per_source(lo, 0.0)) & (F.col("x") < _per_source(hi, 0.0)))
-    run = F.sum("tokens").over(Window.partitionBy("source").orderBy("x", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    epochs = _per_source({k: float(e) for k, (e, _) in todo.items()}, 0.0).cast("int")
-    fill = edge.withColumn("run", run).select("doc_id", "source", "tokens", (epochs + (F.col("run") <= _per_source({k: float(v) for k, v in left.items()}, 0.0)).cast("int")).alias("copies"))
-    rest = s.where((F.col("x") < _per_source(lo, 0.0)) | (F.col("x") >= _per_source(hi, 0.0))).select("doc_id", "source", "tokens", (epochs + below.cast("int")).alias("copies"))
+
+    rows = _with_source(s, state)
+    below = (F.col("x") < F.col("x0")) | ((F.col("x") < F.col("x1")) & (F.col("y") < F.col("y0")))
+    order = F.when(F.col("by_y"), F.col("y")).otherwise(F.col("x"))
+    run = F.sum("tokens").over(Window.partitionBy("source").orderBy(order, "doc_id", "y").rowsBetween(Window.unboundedPreceding, 0))
+    fill = rows.where(_inside()).withColumn("run", run).select("doc_id", "source", "tokens", (F.col("epochs") + (F.col("run") <= F.col("left")).cast("int")).alias("copies"))
+    rest = rows.where(~_inside()).select("doc_id", "source", "tokens", (F.col("epochs") + below.cast("int")).alias("copies"))
     chosen = rest.unionByName(fill).where("copies > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
-    base = spark.createDataFrame([(k, float(sh), int(m), int(available.get(k, 0))) for k, sh, m in wanted], "source string, target_share double, max_repeats int, available_tokens bigint")
-    j = base.join(F.broadcast(got), "source", "left").na.fill(0, ["reached_tokens", "most_copies"])  # one row a source
-    whole = F.sum("reached_tokens").over(Window.partitionBy(F.lit(1)))
-    shares = j.withColumn("reached_share", F.coalesce(F.col("reached_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)))
+    j = todo.select("source", "target_share", "max_repeats", "available_tokens").join(got, "source", "left").na.fill(0, ["reached_tokens", "most_copies"])
+    whole = j.agg(F.sum("reached_tokens").alias("whole"))  # one row
+    shares = j.join(F.broadcast(whole), F.lit(True)).withColumn("reached_share", F.coalesce(F.col("reached_tokens") / F.nullif(F.col("whole"), F.lit(0)), F.lit(0.0))).drop("whole")
     return chosen, shares

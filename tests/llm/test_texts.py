@@ -205,12 +205,11 @@ def corpus(spark, n=300):
     return spark.createDataFrame(data, "doc_id bigint, source string, text string")
 
 
-def test_mix_against_a_plain_loop(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "FEW", 5)  # forces the bins to be split again and again
+def test_mix_against_a_plain_loop(spark):
     targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.05, 2), ("c", 0.2, 2), ("gone", 0.05, 3)], "source string, target_share double, max_repeats int")
     docs = corpus(spark)
-    chosen, shares = mixing.mix(with_clashes(docs), targets)
-    sized = mixing.sized(docs, ["a", "b", "c", "gone"], 11, mixing.TOKENIZER).toPandas()
+    chosen, shares = mixing.mix(with_clashes(docs), targets, few=5)  # forces the bins to be split again and again
+    sized = mixing.sized(docs, targets, 11, mixing.TOKENIZER).toPandas()
     got = {r["doc_id"]: r["copies"] for r in chosen.collect()}
     total = int(sized.tokens.sum())
     want = {}
@@ -236,6 +235,21 @@ def test_mix_takes_documents_of_the_least_weight(spark):
     assert chosen.count() == 299
 
 
+def test_rows_with_equal_keys_are_split_too(spark):
+    docs = spark.createDataFrame([(None, "some words", "a")] * 400, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    each = mixing.with_tokens(docs.limit(1), "text").first()["tokens"]
+    chosen, shares = mixing.mix(docs, targets, total_tokens=523 * each + 1, few=10)
+    assert sorted(r["copies"] for r in chosen.collect()) == [1] * 277 + [2] * 123 and shares.first()["reached_tokens"] == 523 * each
+
+
+def test_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'one two three' as text", "concat('s', id % 1500) as source")
+    targets = spark.range(1500).selectExpr("concat('s', id) as source", "1.0D / 1500 as target_share", "1 as max_repeats")
+    chosen, shares = mixing.mix(docs, targets, total_tokens=1500 * 3)
+    assert chosen.count() == 1500 and shares.agg(F.max("most_copies"), F.count("*")).first()[:] == (1, 1500)
+
+
 def test_mix_edges(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mix(corpus(spark).limit(0), targets)
