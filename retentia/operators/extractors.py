@@ -55,6 +55,44 @@ def judge_prompt(a: Column, b: Column, template: str = "Two extractors read one
     return F.concat(F.lit(head), F.to_json(a), F.lit(mid), F.to_json(b), F.lit(end))
 
 
+def dispute_prompt(field: str, a: Column, b: Column, quote_a: Column, quote_b: Column) -> Column:
+    """Asks which of two values of a field its quotation bears out."""
+    say = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    parts = [f"Two readings of {field} disagree.\nFirst: ", say(a), "\nQuoted for it: ", say(quote_a), "\nSecond: ", say(b), "\nQuoted for it: ", say(quote_b), '\nAnswer with JSON: {"resolved_value": text or null}.']
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def validation_prompt(record: Column, evidence: Column) -> Column:
+    """Asks whether a record that one extractor alone found was measured, by its quotations."""
+    parts = ["Only one extractor reports this record:\n", F.to_json(record), "\nQuotations: ", F.coalesce(F.to_json(evidence), F.lit("none")), '\nWas it measured, rather than simulated, cited or made up? Answer with JSON: {"is_valid": true or false}.']
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def chat(prompt: Column, system: str | None = None, thinking: bool = False) -> Column:
+    """A prompt as the JSON list of messages that chat endpoints take; the endpoint applies its model's template."""
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    messages = [message("system", F.lit(system))] if system else []
+    return F.to_json(F.struct(F.array(*messages, message("user", prompt)).alias("messages"), F.lit(thinking).alias("thinking")))
+
+
+class Judge(Protocol):
+    """Decides where two extractors differ; both methods are plugged into the consensus."""
+
+    def resolve(self, field: str, first: object, second: object) -> object: ...
+
+    def validate(self, record: dict) -> bool: ...
+
+
+class RuleJudge:
+    """Deterministic default: the first value stays, every record is valid."""
+
+    def resolve(self, field: str, first: object, second: object) -> object:
+        return first
+
+    def validate(self, record: dict) -> bool:
+        return True
+
+
 def _readable(answer: str | None) -> bool:
     try:
         return isinstance(json.loads(answer[answer.index("{") : answer.rindex("}") + 1]), dict)
@@ -97,6 +135,20 @@ def assemble(chunks: DataFrame, answered: DataFrame) -> DataFrame:
     return j.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("n_ok"), F.sum("token_count").alias("total_tokens"))
 
 
+def chunk_details(chunks: DataFrame, answered: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, section, token_count, extraction_success, extracted_count, error): one row per chunk; a chunk that was never asked failed."""
+    parsed = F.from_json(S.parse_model_answer(F.col("answer")), ANSWER)["extracted_conditions"]
+    found = answered.select("doc_id", "chunk_index", "success", F.size(F.coalesce(parsed, F.array().cast(f"array<{RECORD}>"))).alias("n"))
+    j = chunks.select("doc_id", "chunk_index", "section", "token_count").join(found, ["doc_id", "chunk_index"], "left")
+    ok = F.coalesce("success", F.lit(False))
+    return j.select("doc_id", "chunk_index", "section", "token_count", ok.alias("extraction_success"), F.when(ok, F.col("n")).alias("extracted_count"), F.when(~ok, F.lit("no readable answer")).alias("error"))
+
+
+def document_records(answered: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, cond_idx, fields of a record): all records of a document in the order of its chunks; `cond_idx` counts within a chunk."""
+    return parse_answers(answered.where("success"), ["doc_id", "chunk_index"])
+
+
 def feedback_loop(papers: DataFrame, review, extract, rounds: int = 1) -> DataFrame:
     """At most `rounds` more extractions of the papers a reviewer flags (`review` gives paper_id, requires_retry, feedback)."""
     done = extract(papers, None)
@@ -129,8 +181,9 @@ def git_commit(folder: str = ".") -> dict[str, object]:
     return {"sha": sha, "short_sha": sha and sha[:8], "dirty": None if sha is None else bool(git("status", "--porcelain"))}
 
 
-def provenance(texts: DataFrame, prompt_version: str, sampling: dict[str, float], folder: str = ".") -> DataFrame:
-    """(doc_id, reproducibility): commit, libraries and sampling once, the fingerprint of the input per row."""
+def provenance(texts: DataFrame, prompt_version: str, sampling: dict[str, float], folder: str = ".", model: str | None = None) -> DataFrame:
+    """(doc_id, reproducibility): commit, libraries, model and sampling once, the fingerprint of the input per row."""
+    known = next((r for r in REGISTRY if model in r[:2]), (model, model, "bf16", None, 32768, False))
     commit = git_commit(folder)
     libs = {n: metadata.version(n) for n in ("pyspark", "pyarrow", "pandas", "numpy")} | {"python": platform.python_version()}
     lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in (kv[0], str(kv[1]))])
@@ -141,6 +194,7 @@ def provenance(texts: DataFrame, prompt_version: str, sampling: dict[str, float]
         F.struct(
             F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).alias("generated_at_utc"),
             F.struct(F.lit(commit["sha"]).cast("string").alias("sha"), F.lit(commit["short_sha"]).cast("string").alias("short_sha"), F.lit(commit["dirty"]).cast("boolean").alias("dirty")).alias("pipeline_git_commit"),
+            F.struct(F.lit(known[0]).cast("string").alias("short_name"), F.lit(known[1]).cast("string").alias("hf_id"), F.lit(known[2]).alias("quantization"), F.lit(known[4]).alias("max_model_len")).alias("model"),
             lit_map(libs).alias("library_versions"), lit_map(sampling).alias("sampling"), F.lit(prompt_version).alias("prompt_version"), inp.alias("input"),
         ).alias("reproducibility"),
     )

@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 
 
 def parse_mb(c: Column) -> Column:
-    return F.when(c != "N/A", c.try_cast("double"))
+    return F.when(F.upper(F.trim(c)) != "N/A", c.try_cast("double"))
+
+
+def gpu_delta(before: Column, after: Column) -> Column:
+    """Memory after less memory before, in MB; null unless both can be read."""
+    return parse_mb(after) - parse_mb(before)
+
+
+def wall_time(c: Column) -> Column:
+    """A written time as a timestamp, with or without fractions and a zone (none means that of the session); null where it cannot be read."""
+    text = F.regexp_replace(F.trim(c), r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)$", "$1T$2")
+    return F.coalesce(text.try_cast("timestamp"), *[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in ("dd.MM.yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyyMMdd_HHmmss")])
+
+
+def durations(telemetry: DataFrame) -> DataFrame:
+    """Adds the times as timestamps and the seconds between them."""
+    t = telemetry.withColumns({"started_at": wall_time(F.col("wall_start")), "ended_at": wall_time(F.col("wall_end"))})
+    return t.withColumn("seconds", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
 
 
 def call_sums(telemetry: DataFrame) -> DataFrame:

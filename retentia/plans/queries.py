@@ -354,7 +354,7 @@ def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
     from retentia.streaming import streams
 
     events = streams.stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
-    out = streams.drain(streams.windowed(events, "ts", "event_type", "value"), "complete", "events")
+    out = streams.drain(streams.windowed(events, "ts", "event_type", "value"), "events", ("window_start", "event_type"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

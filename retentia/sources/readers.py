@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
 import unicodedata
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +63,47 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet of a workbook as text, cells in their columns."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        texts = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        for row in ElementTree.fromstring(z.read(first)).iter(f"{_SHEET}row"):
+            cells: dict[int, str | None] = {}
+            for c in row.iter(f"{_SHEET}c"):
+                column = 0
+                for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                    column = column * 26 + ord(letter) - 64
+                value, inline = c.find(f"{_SHEET}v"), c.find(f"{_SHEET}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{_SHEET}t")) if inline is not None else None if value is None else value.text
+                cells[column - 1 if column else len(cells)] = texts[int(text)] if c.get("t") == "s" and text is not None else text
+            yield [cells.get(k) for k in range(max(cells) + 1)] if cells else []
+
+
+def xlsx_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(path, row, the named columns as text) of the first sheet of every workbook; the first row names the columns, one that is absent is null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                rows = sheet_rows(bytes(content))
+                head = {(h or "").strip(): k for k, h in enumerate(next(rows, []))}
+                at = [head.get(c) for c in columns]
+                yield pd.DataFrame([(p, n, *[r[k] if k is not None and k < len(r) else None for k in at]) for n, r in enumerate(rows, 2)], columns=["path", "row", *columns])
+
+    fields = [T.StructField("path", T.StringType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]]
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, T.StructType(fields))
+
+
+def parser_ready(parsers: list[Callable[[bytes], str]]) -> bool:
+    """Whether any document parser is plugged in."""
+    return bool(parsers)
+
+
 def telemetry_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.TELEMETRY).json(path)
 

@@ -54,6 +54,25 @@ def write_scores(scores: DataFrame, path: str) -> None:
     write_csv(scores, f"{path}/csv", True)
 
 
+# Header of the performance log.
+PERFORMANCE_HEADER = ["Paper", "First Runtime (s)", "First Extraction Calls (Chunks)", "Second Runtime (s)", "Second Extraction Calls (Chunks)", "Consensus Generated"]
+
+
+def write_performance_log(log: DataFrame, path: str) -> None:
+    """The six columns of the performance log (operators.telemetry.performance_log) under their header."""
+    write_csv(log.toDF(*PERFORMANCE_HEADER).orderBy("Paper"), path)
+
+
+def write_master(records: DataFrame, path: str) -> None:
+    """All papers' records of a set in one table by subfolder, with paper and extractor beside every record."""
+    records.select("subfolder", "paper_id", "model", *[c for c in records.columns if c not in ("subfolder", "paper_id", "model")]).write.mode("error").partitionBy("subfolder").parquet(path)
+
+
+def removed_rows(before: DataFrame, after: DataFrame, key: str = "record_id") -> DataFrame:
+    """The rows of `before` that are no longer in `after`; rows without a key cannot be found again and count as removed."""
+    return before.join(after.select(key).distinct(), key, "left_anti")
+
+
 def rewrite_changed(before: DataFrame, after: DataFrame, path: str, key: str = "paper_id", dry_run: bool = False) -> DataFrame:
     """(key, removed): papers whose records became fewer; their remaining records are written to a new place unless it is a dry run."""
     b, a = before.groupBy(key).agg(F.count("*").alias("b")), after.groupBy(key).agg(F.count("*").alias("a"))
@@ -73,6 +92,27 @@ def markdown_report(records: DataFrame, title: str = "Record report") -> str:
     return "\n".join(lines) + "\n"
 
 
+def comparison_report(old: DataFrame, new: DataFrame, title: str = "Comparison") -> str:
+    """Records per paper in two sets, largest change first: one line a paper that changed, and totals."""
+    c = quality.compare_sets(old, new)
+    n_old, n_new, n = c.agg(F.coalesce(F.sum("n_old"), F.lit(0)), F.coalesce(F.sum("n_new"), F.lit(0)), F.count("*")).first()
+    lines = [f"# {title}", "", f"{n} papers, {n_old} records before, {n_new} after.", "", "| subfolder | paper | before | after | change |", "|---|---|---|---|---|"]
+    for r in c.where("delta <> 0").orderBy(F.desc(F.abs("delta")), "subfolder", "paper_id").toLocalIterator():  # a page is read whole: one line a paper
+        lines.append(f"| {r['subfolder']} | {r['paper_id']} | {r['n_old']} | {r['n_new']} | {r['delta']:+d} |")
+    return "\n".join(lines) + "\n"
+
+
+def quality_report(records: DataFrame, title: str = "Quality") -> str:
+    """Findings of the audit, null rates and agreement: only aggregates reach the driver."""
+    lines = [f"# {title}", "", "| check | found |", "|---|---|"]
+    lines += [f"| {r['name']} | {r['n']} |" for r in quality.audit(records).orderBy("name").collect()]
+    lines += ["", "| field | null | rows |", "|---|---|---|"]
+    lines += [f"| {r['field']} | {r['n_null']} | {r['n_rows']} |" for r in quality.null_profile(records).orderBy(F.desc("n_null"), "field").collect()]
+    lines += ["", "| agreement (strict) | records | share |", "|---|---|---|"]
+    lines += [f"| {r['bucket']} | {r['n']} | {r['share']} % |" for r in quality.agreement(records, strict=True).orderBy("bucket").collect()]
+    return "\n".join(lines) + "\n"
+
+
 def detail_lines(records: DataFrame) -> DataFrame:
     """(record_id, line): one table row of the detail report per record."""
     nz = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.common import scratch
 
@@ -25,17 +26,20 @@ def without_replays(records: DataFrame, id_col: str, time: str, late: str = "30
     return records.withWatermark(time, late).dropDuplicatesWithinWatermark([id_col])
 
 
-def drain(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a streaming frame over all that is there now, exactly once per batch, and returns the last state written to the shared folder."""
-    spark = df.sparkSession
-    base = scratch(spark, f"stream-{name}")
+def drain(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a streaming frame over all that is there now, exactly once per batch, and returns what it wrote to the shared folder.
+
+    With `keys` it runs in update mode: the state holds only what the watermark leaves open, and of the rows of a key the last update counts.
+    """
+    base = scratch(df.sparkSession, f"stream-{name}")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{base}/out")
-        else:
-            batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    out = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{base}/out")
+    if not keys:
+        return out.drop("epoch")
+    rest = [c for c in df.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*keys, "r.*").select(*df.columns)

@@ -212,5 +212,51 @@ def test_stream(spark, tmp_path):
 
     df = spark.range(10).select("id", F.timestamp_seconds(F.col("id") * 1800).alias("ts"), F.lit("k").alias("kind"), F.lit(1.0).alias("v"))
     df.write.parquet(str(tmp_path / "ev"))
-    out = streams.drain(streams.windowed(streams.stream(spark, str(tmp_path / "ev"), df.schema), "ts", "kind", "v"), "complete", "t")
+    out = streams.drain(streams.windowed(streams.stream(spark, str(tmp_path / "ev"), df.schema), "ts", "kind", "v"), "t", ("window_start", "kind"))
     assert out.count() == 5 and out.agg(F.sum("n")).first()[0] == 10
+
+
+def test_chunk_details_and_records_of_documents(spark):
+    chunks = spark.createDataFrame([(1, 0, "Part 1", 5, "a"), (1, 1, "Part 2", 6, "b"), (2, 0, "Full Paper", 7, "c")], "doc_id bigint, chunk_index int, section string, token_count int, text string")
+    answered = spark.createDataFrame([(1, 0, '{"extracted_conditions": [{"column_name": "A"}, {"column_name": "B"}]}', True), (1, 1, "no", False)], "doc_id bigint, chunk_index int, answer string, success boolean")
+    assert rows(extractors.chunk_details(chunks, answered)) == [(1, 0, "Part 1", 5, True, 2, None), (1, 1, "Part 2", 6, False, None, "no readable answer"), (2, 0, "Full Paper", 7, False, None, "no readable answer")]
+    assert rows(extractors.document_records(answered).select("doc_id", "chunk_index", "cond_idx", "column_name")) == [(1, 0, 0, "A"), (1, 0, 1, "B")]
+
+
+def test_prompts_and_the_default_judge(spark):
+    df = spark.createDataFrame([("25", None, "at 25")], "a string, b string, q string")
+    asked = df.select(extractors.dispute_prompt("temperature_celsius", F.col("a"), F.col("b"), F.col("q"), F.lit(None)).alias("p"), extractors.validation_prompt(F.struct("a"), F.struct("q")).alias("v"), extractors.chat(F.col("a"), "be brief").alias("c")).first()
+    assert "First: 25" in asked["p"] and "Second: none" in asked["p"] and '{"q":"at 25"}' in asked["v"]
+    assert json.loads(asked["c"]) == {"messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "25"}], "thinking": False}
+    judge = extractors.RuleJudge()
+    assert M.consensus([{"notes": "a"}], [{"notes": "b"}], judge.validate, judge.resolve)[0][0]["notes"] == "a"
+
+
+def test_times_and_memory(spark):
+    from retentia.operators import telemetry
+
+    df = spark.createDataFrame([("2026-01-02T03:04:05.5Z", "2026-01-02T03:04:07Z", "N/A", "5"), ("2026-01-02 03:04:05", "02.01.2026 03:05:05", "1.5", "4"), ("?", None, None, "x")], "wall_start string, wall_end string, a string, b string")
+    got = telemetry.durations(df).select("seconds", telemetry.gpu_delta(F.col("a"), F.col("b")).alias("d"))
+    assert [tuple(r) for r in got.collect()] == [(1.5, None), (60.0, 2.5), (None, None)]
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Temp</t></is></c></row><row r="2"><c r="A2"><v>7</v></c><c r="C2" t="s"><v>1</v></c></row><row r="3"/></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Reference</t></si><si><r><t>25</t></r><r><t> C</t></r></si></sst>")
+    assert rows(readers.xlsx_table(spark, str(tmp_path / "t.xlsx"), ["Reference", "Temp", "Absent"]).drop("path")) == [(2, "7", "25 C", None), (3, None, None, None)]
+    assert not readers.parser_ready([])
+
+
+def test_reports_and_removed_rows(spark, tmp_path):
+    df = records(spark, sample())
+    page = sinks.comparison_report(df, df.where("record_id <> 1"))
+    assert "| s | P | 5 | 4 | -1 |" in page and "6 records before, 5 after" in page
+    assert "| null_heavy |" in sinks.quality_report(df)
+    assert rows(sinks.removed_rows(df, df.where("record_id <> 1")).select("record_id")) == [(1,)]
+    sinks.write_master(df, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 6
