@@ -43,10 +43,10 @@ def rates(telemetry: DataFrame) -> DataFrame:
 
 
 def model_rollup(telemetry: DataFrame) -> DataFrame:
-    """(model, runs, seconds, conditions, tokens) per model with ratio-of-sums rates."""
+    """(model, runs, seconds, conditions, tokens) per model with ratio-of-sums rates; seconds are summed as decimals, in any order the same."""
     t = telemetry.distinct()
-    g = t.groupBy("model").agg(F.count("*").alias("n_runs"), F.sum("wall_duration_s").alias("s"), F.sum("conditions_extracted").alias("n_conditions"), F.sum("total_output_tokens").alias("n_tokens"), F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("n_ok"))
-    return g.select("model", "n_runs", "n_conditions", "n_tokens", "n_ok", F.round(F.col("s"), 2).alias("seconds"), F.round(F.col("n_tokens") / F.nullif(F.col("s"), F.lit(0.0)), 4).alias("tokens_per_second"))
+    g = t.groupBy("model").agg(F.count("*").alias("n_runs"), F.sum(F.col("wall_duration_s").cast("decimal(18,6)")).alias("s"), F.sum("conditions_extracted").alias("n_conditions"), F.sum("total_output_tokens").alias("n_tokens"), F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("n_ok"))
+    return g.select("model", "n_runs", "n_conditions", "n_tokens", "n_ok", F.round(F.col("s"), 2).cast("double").alias("seconds"), F.round(F.col("n_tokens") / F.nullif(F.col("s").cast("double"), F.lit(0.0)), 4).alias("tokens_per_second"))
 
 
 def running_tokens(telemetry: DataFrame) -> DataFrame:

@@ -324,7 +324,7 @@ query(
 query(
     "model_rollup",
     """WITH d AS (SELECT DISTINCT * FROM telemetry) SELECT model, count(*) n_runs, sum(conditions_extracted)::BIGINT n_conditions, sum(total_output_tokens)::BIGINT n_tokens, sum(coalesce(success, false)::INT)::BIGINT n_ok,
-round(sum(wall_duration_s), 2) AS "seconds", round(sum(total_output_tokens) / nullif(sum(wall_duration_s), 0), 4) tokens_per_second FROM d GROUP BY 1""",
+round(sum(wall_duration_s::DECIMAL(18, 6)), 2)::DOUBLE AS "seconds", round(sum(total_output_tokens) / nullif(sum(wall_duration_s::DECIMAL(18, 6))::DOUBLE, 0), 4) tokens_per_second FROM d GROUP BY 1""",
     "telemetry",
 )(telemetry.model_rollup)
 query(
