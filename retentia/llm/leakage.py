@@ -257,6 +257,8 @@ def _steps(doc: list[str], item: list[str]) -> tuple[int, int, list[tuple[int, i
             i, j = i + 2, j + 1
         elif doc[i + 2] == word and (doc[i + 3] == item[j + 1] or j + 1 == n):
             i, j = i + 3, j + 1
+        elif any(map(str.isdigit, word)):  # another number is another statement: such texts only resemble the item
+            break
         elif doc[i + 1] == item[j + 1] and doc[i + 2] == item[j + 2]:  # a word replaced by one or two
             i, j, replaced = i + 2, j + 2, replaced + 1
         elif doc[i + 2] == item[j + 1] and doc[i + 3] == item[j + 2]:

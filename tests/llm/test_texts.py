@@ -171,7 +171,9 @@ def test_altered_passages():
     assert has(" ".join(w).upper().replace(" ", ",\n> "))
     assert has(" ".join([*w[:7], w[7][:1], w[7][1:], *w[8:]]))  # broken word
     assert has(" ".join([*WORDS[:10], "x", "y", "z", *WORDS[13:33]]))  # a short stretch before, on the same diagonal
-    assert has(" ".join([*w[:9], "other", *w[10:]]))  # a replaced word, be it a number
+    plain = ["".join(chr(97 + int(c)) for c in x[1:]) + "x" for x in WORDS[:40]]
+    assert search([" ".join([*plain[5:14], "other", *plain[15:25]])], [(1, " ".join(plain))]) == {(0, 1)}  # a replaced word
+    assert not has(" ".join([*w[:9], "other", *w[10:]]))  # another number, on both sides too little
     assert not has(" ".join(w[:14])) and not has("") and not has(" ".join(x for k, x in enumerate(w) if k % 2))
 
 
