@@ -133,3 +133,13 @@ def _latest(c: str, name: str, first: str = "") -> str:
 
 _picks = [_latest("critical_condition_confidence", "confidence", "sure, ")] + [_latest(f"model_confidences.{m}", m) for m in survivor.MODELS] + [_latest(f"field_evidence.{f}", f"evidence_{f}") for f in survivor.EVIDENCE]
 SQL["p2_survivors"] = f"WITH {_KEYS}, {_S} SELECT min(record_id) first_id, count(DISTINCT record_id) copies, {', '.join(_picks)} FROM s GROUP BY k"
+_code = "\\x{%x}"
+_ALIKE = unify.ranges(unify.LOOKALIKES, _code)
+# The classes of characters that the definition of the query names.
+_NAMED = r"[\x{ff01}-\x{ff5e}\x{ffe0}-\x{ffe6}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff0}-\x{fffb}\x{e0000}-\x{e0fff}]|\p{Mn}"
+_ODD = rf"len(list_filter(regexp_extract_all(v, '[\p{{L}}\p{{Mn}}]+'), lambda w: regexp_matches(w, '[{_ALIKE}]') AND (regexp_matches(w, '\p{{Latin}}') OR NOT regexp_matches(w, '[^{_ALIKE}\p{{Mn}}]')))) > 0"
+SQL["p7_found"] = f"""
+WITH t AS (SELECT 'records' table_id, record_id row_id, 'analyte_polymer' field, analyte_polymer v FROM records UNION ALL SELECT 'records', record_id, 'critical_component', critical_component FROM records
+  UNION ALL SELECT 'extractions', run_id, 'metadata.source_pdf', metadata.source_pdf FROM extractions)
+SELECT table_id, row_id, field FROM t WHERE v IS NOT NULL AND (regexp_matches(v, '{_NAMED}') OR {_ODD})
+"""
