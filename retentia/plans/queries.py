@@ -153,10 +153,6 @@ def standardize_vocabulary(r: DataFrame) -> DataFrame:
     return r.select("record_id", S.column_mode(F.col("column_mode")).alias("column_mode"), S.architecture(F.col("architecture")).alias("architecture"), S.year(F.col("publication_year")).alias("publication_year"))
 
 
-@query("standardized_layout")
-def standardized_layout(r: DataFrame) -> DataFrame:
-    """45-column layout of every record."""
-    return standardize.standard_rows(standardize.standardize(r))
 
 
 @query("summary_export")
@@ -182,6 +178,33 @@ _BEST = f"""cells AS (SELECT record_id, {_CELLS} FROM records),
 a AS (SELECT *, {_filled} filled, {_h('Paper')} p, {_h('Stationary Phase Chemistry')} s, {_h('Column Name')} c, {_canon(_h('Critical Component'))} cc, {_canon(_h('Analyte Polymer'))} ap, {_n0('"Mobile Phase Ratio"')} r, {_n0('"Temperature (°C)"')} t FROM cells),
 b AS (SELECT *, row_number() OVER (PARTITION BY p, s, c, cc, ap, r, t ORDER BY filled DESC, record_id) rn, min(record_id) OVER (PARTITION BY p, s, c, cc, ap, r, t) first_pos, count(*) OVER (PARTITION BY p, s, c, cc, ap, r, t) n FROM a)"""
 _HEADER = ", ".join(f'"{h}"' for h in standardize.SUMMARY_HEADER)
+_plain = lambda name: SQL[name].replace("round(q, 4)::VARCHAR), ',')", "q::VARCHAR), ', ')")
+_sh = lambda c: f"coalesce({c}::VARCHAR, '')"
+_x = "list_transform(mobile_phase_solvents, lambda x: {})"
+_standard = [
+    "r.paper_id", _cl("paper_doi"), _sh("v.publication_year"), *[_cl(c) for c in ("corresponding_author_name", "corresponding_email_address", "physical_address", "analyte_polymer", "critical_component")],
+    _cl("coalesce(CASE WHEN r.architecture IS DISTINCT FROM v.architecture THEN r.architecture END, v.architecture)"), _sh("v.architecture"), *[_cl(c) for c in ("critical_condition_basis", "column_name", "stationary_phase_chemistry")], _sh("v.column_mode"),
+    _cl("r.pore_size"), f"CASE WHEN p.val IS NOT NULL THEN p.val::VARCHAR ELSE {_sh('p.vals')} END", _sh("p.lo"), _sh("p.hi"), _cl("column_dimensions"),
+    f"coalesce(array_to_string({_x.format('CASE WHEN regexp_matches(x, ' + chr(39) + '(?is)water with (.+)' + chr(39) + ') THEN ' + chr(39) + 'water' + chr(39) + ' ELSE ' + _st('x') + ' END')}, ', '), '')",
+    _cl("mobile_phase_ratio"), _sh("o.components"), _sh("o.ratio_min"), _sh("o.ratio_max"), _cl("mobile_phase_ratio_units"), _sh("u.unit"), _cl("aqueous_parameters.pH"),
+    _cl(f"coalesce(list_filter({_x.format('regexp_extract(' + _st('x') + ', ' + chr(39) + '(?i)water with (.+)' + chr(39) + ', 1)')}, lambda y: y <> '')[-1], aqueous_parameters.pH_modifier)"),
+    _sh("aqueous_parameters.salt_added"), _cl("aqueous_parameters.salt_type"), _cl("aqueous_parameters.salt_concentration"),
+    f"CASE WHEN t.lo IS NOT NULL THEN {_cl('temperature_celsius')} ELSE {_sh('t.val')} END", _sh("t.val"), _sh("t.lo"), _sh("t.hi"), _cl("flow_rate"), _sh("f.val"), _sh("f.lo"), _sh("f.hi"),
+    *[_cl(c) for c in ("detector", "critical_condition_confidence", "model_confidences.qwen", "model_confidences.mistral")], f"concat_ws(' | ', {', '.join(f'field_evidence.{c}' for c in _EVS)})", _cl("notes"),
+]
+
+
+@query(
+    "standardized_layout",
+    f"""SELECT {', '.join(f'{c} AS "{h}"' for c, h in zip(_standard, standardize.STANDARD_HEADER))} FROM records r
+JOIN ({_plain('standardize_vocabulary')}) v USING (record_id) JOIN ({_plain('standardize_pore')}) p USING (record_id) JOIN ({_plain('standardize_ratio')}) o USING (record_id)
+JOIN ({SQL['standardize_units']}) u USING (record_id) JOIN ({SQL['standardize_temperature']}) t USING (record_id) JOIN ({SQL['standardize_flow']}) f USING (record_id)""",
+)
+def standardized_layout(r: DataFrame) -> DataFrame:
+    """45-column layout of every record."""
+    return standardize.standard_rows(standardize.standardize(r))
+
+
 SQL["summary_export"] = f"WITH {_BEST} SELECT {_HEADER} FROM b WHERE rn = 1"
 
 
