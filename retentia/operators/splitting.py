@@ -152,13 +152,15 @@ def _spans(s: str, cuts: list[tuple[int, int]], reach: int | None = None) -> Ite
                 yield i, j, s[begins[i] : ends[j - 1]].strip().strip('"“”').strip()
 
 
-def inner(field: str, text: str) -> int:
-    """The most delimiters inside what may be one value in a text of its own, or in a piece of it between strong delimiters."""
+def inner(field: str, text: str, most: int = 0) -> int:
+    """`most`, or more delimiters inside what may be one value in a text of its own, or in a piece of it between strong delimiters."""
     s = text.strip()
-    if missing_text(s):
-        return 0
-    pieces = _quoted_values(s) or [p for p in STRONG.split(s) if p.strip()]
-    return max((len(_cuts(field, p.strip())) for p in pieces if len(split_values(field, p)) < 2), default=0)
+    if not missing_text(s):
+        for p in _quoted_values(s) or [p for p in STRONG.split(s) if p.strip()]:
+            n = len(_cuts(field, p.strip()))
+            if n > most and len(split_values(field, p)) < 2:  # only what is longer than all before is split
+                most = n
+    return most
 
 
 def candidates(field: str, text: str, reach: int | None = None) -> set[tuple[str, str]]:
@@ -250,8 +252,11 @@ def split_values(field: str, text: str, known: frozenset[str] = frozenset(), rea
 
 
 def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    most: dict[str, int] = {}
     for b in batches:
-        yield pd.DataFrame([(f, inner(f, t)) for f, t in zip(b["field"], b["text"])], columns=["field", "n"]).groupby("field", as_index=False)["n"].max().astype({"n": "int32"})
+        for f, t in zip(b["field"], b["text"]):
+            most[f] = inner(f, t, most.get(f, 0))
+    yield pd.DataFrame({"field": list(most), "n": list(most.values())}).astype({"field": "object", "n": "int32"})
 
 
 def _with(reach: dict[str, int]) -> tuple:
